@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language
+from . import decontaminate, language
 from .base import read
 from .sharding import shard
 from .simhash import near_duplicates
@@ -18,6 +18,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.summary(decontaminate.find_hits(docs, read(spark, sf_dir, "benchmark"), window=8), least_items=2).drop("text")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), words=3, radius=2)
 
@@ -28,6 +33,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language": op4_language,
+    "op6_decontaminate": op6_decontaminate,
     "op8_simhash": op8_simhash,
     "op10_sharding": op10_sharding,
 }
