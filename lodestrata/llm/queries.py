@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language
+from . import decontaminate, language, secrets, urls
 from .base import read
 from .sharding import shard
 from .simhash import near_duplicates
 
 
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, urls.train(urls.labelled(spark))).drop("url")
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language.held_out())
     model = language.train(docs.where("not held_out"))
@@ -27,14 +32,21 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), words=3, radius=2)
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.summary(secrets.scan(docs, secrets.train(secrets.labelled(spark)))).drop("text")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents"), shards=24)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_urls": op3_urls,
     "op4_language": op4_language,
     "op6_decontaminate": op6_decontaminate,
     "op8_simhash": op8_simhash,
+    "op9_secrets": op9_secrets,
     "op10_sharding": op10_sharding,
 }
 
