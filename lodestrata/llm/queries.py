@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, secrets, urls
+from . import decontaminate, language, pieces, secrets, urls
 from .base import read
 from .sharding import shard
 from .simhash import near_duplicates
 
 
+#: A public vocabulary file; a parameter of the encoder.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(pages, urls.train(urls.labelled(spark))).drop("url")
@@ -28,6 +32,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.summary(decontaminate.find_hits(docs, read(spark, sf_dir, "benchmark"), window=8), least_items=2).drop("text")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.summary(read(spark, sf_dir, "documents"), pieces.Vocabulary.load(VOCABULARY))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), words=3, radius=2)
 
@@ -45,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_urls": op3_urls,
     "op4_language": op4_language,
     "op6_decontaminate": op6_decontaminate,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_simhash": op8_simhash,
     "op9_secrets": op9_secrets,
     "op10_sharding": op10_sharding,
