@@ -10,6 +10,11 @@ from . import decontaminate, language, pieces, secrets, urls
 from .base import read
 from .sharding import shard
 from .simhash import near_duplicates
+from .surrogates import pseudonymise
+
+
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), key="surrogates of the standard tables")
 
 
 #: A public vocabulary file; a parameter of the encoder.
@@ -50,6 +55,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_surrogates": op2_surrogates,
     "op3_urls": op3_urls,
     "op4_language": op4_language,
     "op6_decontaminate": op6_decontaminate,
