@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, language, pieces, secrets, urls
 from .base import read
+from .lines import dedup_lines
 from .sharding import shard
 from .simhash import near_duplicates
 from .surrogates import pseudonymise
@@ -32,6 +33,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), min_words=50)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.summary(decontaminate.find_hits(docs, read(spark, sf_dir, "benchmark"), window=8), least_items=2).drop("text")
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_surrogates": op2_surrogates,
     "op3_urls": op3_urls,
     "op4_language": op4_language,
+    "op5_lines": op5_lines,
     "op6_decontaminate": op6_decontaminate,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_simhash": op8_simhash,
