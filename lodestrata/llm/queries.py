@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, pieces, secrets, urls
+from . import decontaminate, language, pieces, pivots, secrets, urls
 from .base import read
 from .lines import dedup_lines
 from .sharding import shard
@@ -14,6 +14,10 @@ from .simhash import near_duplicates
 from .surrogates import pseudonymise
 
 
+def op1_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), threshold=0.9)
+
+
 def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), key="surrogates of the standard tables")
 
@@ -60,6 +64,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pivots": op1_pivots,
     "op2_surrogates": op2_surrogates,
     "op3_urls": op3_urls,
     "op4_language": op4_language,
