@@ -29,8 +29,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 MARK = "▁"
 #: Characters of text whose distinct words are sorted together.
 SLICE = 1 << 22
-#: Words whose ids a worker keeps.
-KEPT = 150_000
+#: Words whose ids a worker keeps, about: as many again that it met before those.
+KEPT = 200_000
 
 
 class Vocabulary:
@@ -41,6 +41,13 @@ class Vocabulary:
         self.ids = {p: k for k, p in enumerate(pieces) if kinds[k] == "piece"}
         self.bytes = {int(p[1:-1], 16): k for k, p in enumerate(pieces) if kinds[k] == "byte"}
         self.unknown = kinds.index("unknown") if "unknown" in kinds else None
+        #: Pieces by their characters from last to first: (number or None, next).
+        self.ends: tuple = (None, {})
+        for p, k in self.ids.items():
+            node = self.ends
+            for c in p[:0:-1]:
+                node = node[1].setdefault(c, (None, {}))
+            node[1][p[0]] = (k, node[1][p[0]][1] if p[0] in node[1] else {})
         self.longest = max(map(len, self.ids), default=1)
         joined = {c for p in self.ids if len(p) > 1 for c in p} - {MARK}
         own = "".join(map(re.escape, sorted(joined)))
@@ -48,6 +55,7 @@ class Vocabulary:
         self.fit: dict[int, bool] = {}
         self.packs = [np.int32(k).tobytes() for k in range(len(pieces))]
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.mark_bytes = self.pack_char(MARK, literal=True)
         self.raw = [self.raw_of(k) for k in range(len(pieces))]
 
@@ -106,7 +114,7 @@ class Vocabulary:
 
     def encode_words(self, words: set[str]) -> dict[str, bytes]:
         """Packed ids of each word, walking the sorted words as a trie."""
-        packs = self.packs
+        packs, ends, none = self.packs, self.ends, (None, {})
         code, fit, longest, scores, size = self.ids.get, self.fit, self.longest, self.scores, len(self.pieces)
         poorest = min(scores, default=0.0) - 10
         out: dict[str, bytes] = {}
@@ -124,10 +132,16 @@ class Vocabulary:
             del start[same + 1 :], last[same + 1 :], best[same + 1 :]
             for i in range(same + 1, n + 1):
                 if self.merges:
-                    for a in range(i - longest if i > longest else 0, i):
-                        k = code(word[a:i])
+                    # Backwards from i, as long as some piece ends so; just one fits what stands before it.
+                    node = ends
+                    for a in range(i - 1, -1, -1):
+                        node = node[1].get(word[a], none)
+                        k = node[0]
                         if k is None:
                             if a + 1 < i:
+                                if node is none:
+                                    start.append(-1)
+                                    break
                                 continue
                             k = size + ord(word[a])  # a character without a piece
                         pair = (last[a] + 1 << 22) + k
@@ -136,9 +150,11 @@ class Vocabulary:
                             both = [word[start[a] : a], word[a:i]] if a else [word[:i]]
                             ok = fit[pair] = self.merge("".join(both)) == both
                         if ok:
+                            start.append(a)
+                            last.append(k)
                             break
-                    start.append(a)
-                    last.append(k)
+                    if len(start) <= i or start[i] < 0:  # merges that don't follow from pairs
+                        break
                 else:
                     found, at = -float("inf"), i - 1
                     for a in range(max(0, i - longest), i):
@@ -150,6 +166,11 @@ class Vocabulary:
                     start.append(at)
                     last.append(size + ord(word[at]) if k is None else k)
                     best.append(found)
+            if len(start) <= n or start[n] < 0:
+                out[word] = self.pack(self.merge(word))
+                before = ""
+                del start[1:], last[1:], best[1:]
+                continue
             before = word
             parts, i = [], n
             while i:
@@ -177,13 +198,17 @@ class Vocabulary:
         size = 0
 
         def flush() -> None:
-            new = {w for _, parts in slice_ for p in parts for w in p} - self.kept.keys()
-            self.kept.update(self.encode_words(new))
+            here = {w for _, parts in slice_ for p in parts for w in p}
+            missing = here - self.kept.keys()
+            again = missing & self.older.keys()
+            for w in again:
+                self.kept[w] = self.older[w]
+            self.kept.update(self.encode_words(missing - again))
             get = self.kept.__getitem__
             for k, parts in slice_:
                 out[k] = self.mark_bytes.join(b"".join(map(get, p)) for p in parts)
-            if len(self.kept) > KEPT:
-                self.kept.clear()
+            if len(self.kept) > KEPT:  # words not met again by the next time go
+                self.older, self.kept = self.kept, {}
             slice_.clear()
 
         for k, text in enumerate(texts):
