@@ -39,11 +39,11 @@ PATTERNS = {
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}[-.][0-9]{3}[-.][0-9]{4})(?![0-9])",
-    "name": rf"(?<!\p{{L}})(?:{_title} {_name}(?: {_name}){{0,2}}|(?:" + "|".join(n for own in GIVEN.values() for n in own) + rf") {_name})",
+    "name": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_title} {_name}(?: {_name}){{0,2}}|(?:" + "|".join(n for own in GIVEN.values() for n in own) + rf") {_name})",
 }
 ALL = "|".join(PATTERNS.values())
 #: A cheap first look: texts without any of these hold no entity.
-HINT = r"[0-9@]|(?:" + "|".join(sorted({t for own in [*TITLES.values(), *GIVEN.values()] for t in own})) + ")"
+HINT = r"[0-9@]|(?=\p{Lu})(?<!\p{L})(?:" + "|".join(sorted({t for own in [*TITLES.values(), *GIVEN.values()] for t in own})) + ")"
 
 ENTITY = "array<struct<type:string,canon:string>>"
 
