@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +63,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     a lambda's own variable isn't.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Rows of a narrow table (some tens of bytes each) that may be broadcast.
+FEW = 400_000
+
+
+def beside(df: DataFrame, rows: int = FEW) -> DataFrame:
+    """df, marked for broadcast if a count finds it small enough; else a join shuffles both sides.
+
+    df must be stored or cheap, as it is counted first.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces, so that Python holds few texts at once."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)

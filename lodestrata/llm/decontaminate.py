@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
+from .base import slices
+
 #: Words of a window; an item with fewer words is one window.
 WINDOW = 8
 #: Benchmark text in one broadcast set at most; a larger benchmark is dealt over several sets, one pass each.
@@ -189,7 +191,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, part=part) -> Iterator[pa.RecordBatch]:
             table = shared.value
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole)):
                 found = table.find(batch.column(at).to_pylist())
                 runs = [x[1] for x in found]
                 ids = [sorted(table.ids[i] for i in x[2]) for x in found]

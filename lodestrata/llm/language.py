@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .base import slices
+
 ORDERS = (1, 2, 3)
 BITS = 16
 #: Entries of the broadcast matrix at most (float32: 64 MB); with more languages n-grams share buckets.
@@ -63,7 +65,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total[lang] = np.zeros(1 << BITS, np.int64)
         total[lang] += np.bincount(np.concatenate(wait.pop(lang)), minlength=1 << BITS)
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             wait.setdefault(lang, []).append(grams(text))
             if len(wait[lang]) >= 200 or len(wait[lang][-1]) > SLICE:
@@ -153,7 +155,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             lang, score = own.score(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import let, release, store
+from .base import beside, let, release, store
 
 #: A word, as it is counted here.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,7 +57,7 @@ def find_copies(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     rows = store(
         docs.select(
             F.col(id_col).alias("id"),
-            F.sha2(text, 256).alias("h"),
+            F.unhex(F.sha2(text, 256)).alias("h"),
             F.filter(F.transform(F.split(text, "\n"), line), lambda x: x["n"] > 0).alias("lines"),
         ).withColumn("all_words", F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["n"])),
         "line-rows",
@@ -128,7 +128,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     out = docs.drop("n_lines", "n_deleted")
     dead = find_copies(out, min_words, id_col, text_col).withColumnRenamed("h", "_h")
     text = F.col(text_col).cast("string")
-    joined = out.withColumn("_h0", F.sha2(F.coalesce(text, F.lit("")), 256)).join(dead.selectExpr("_h", "first_id as _first", "all_words as _words", "dead as _dead"), F.col("_h0") == F.col("_h"), "left")
+    dead = beside(dead.selectExpr("_h", "first_id as _first", "all_words as _words", "dead as _dead"))
+    joined = out.withColumn("_h0", F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))).join(dead, F.col("_h0") == F.col("_h"), "left")
     whole = F.col("_h").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("_first")) & (F.col("_words") >= min_words)
     some = F.col("_h").isNotNull() & F.col(id_col).eqNullSafe(F.col("_first")) & F.col("_dead").isNotNull()
 

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
+from .base import slices
+
 MARK = "▁"
 #: Characters of text whose distinct words are sorted together.
 SLICE = 1 << 22
@@ -238,11 +240,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             packed = own.encode(batch.column(at).to_pylist())
             ends = np.cumsum([0, *(len(p or b"") // 4 for p in packed)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(p or b"" for p in packed), np.int32)), mask=pa.array([p is None for p in packed]))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
+        own.kept, own.older = {}, {}  # a worker waits for its next task without them
 
     return out.mapInArrow(run, StructType(list(out.schema.fields)).add("ids", ArrayType(IntegerType())))
 
@@ -255,7 +258,7 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             col = batch.column(at)
             values, ends, null = col.values.to_numpy(zero_copy_only=False).astype(np.int32, copy=False), col.offsets.to_numpy(), col.is_null().to_pylist()
             each = [None if gone else values[ends[k] : ends[k + 1]] for k, gone in enumerate(null)]
