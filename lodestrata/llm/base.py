@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -77,7 +78,26 @@ def beside(df: DataFrame, rows: int = FEW) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """A batch in pieces, so that Python holds few texts at once."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces, so that Python holds few texts at once.
+
+    After the last one the worker gives back what it holds no longer: it stays
+    alive, idle, beside the tasks that follow.
+    """
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tune(spark: SparkSession) -> None:
+    """Let Arrow batches hold 1,000 rows where the session leaves the number as Spark sets it.
+
+    Ten thousand long texts make a batch that the executor holds several times
+    over outside its heap.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")

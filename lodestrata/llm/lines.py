@@ -30,10 +30,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _line_table(texts: DataFrame) -> DataFrame:
-    """h, pid, start, at, line, words: non-blank lines numbered in corpus order, those of a text one after another."""
+    """pid, start, at, line, words: non-blank lines numbered in corpus order, those of a text one after another; h with the first."""
     ordered = texts.repartitionByRange(F.asc_nulls_last("first_id"), "h").sortWithinPartitions(F.asc_nulls_last("first_id"), "h")
     each = ordered.select("h", F.posexplode("lines").alias("pos", "x")).withColumn("pid", F.monotonically_increasing_id())
-    return each.select("h", "pid", (F.col("pid") - F.col("pos")).alias("start"), F.col("x.at").alias("at"), F.col("x.id").alias("line"), F.col("x.n").alias("words"))
+    return each.select(F.when(F.col("pos") == 0, F.col("h")).alias("h"), "pid", (F.col("pid") - F.col("pos")).alias("start"), F.col("x.at").alias("at"), F.col("x.id").alias("line"), F.col("x.n").alias("words"))
 
 
 def _rank(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -67,7 +67,7 @@ def find_copies(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     texts = held.select("h", "first_id", "lines", "all_words", (F.col("lo") != F.col("hi")).alias("copied")).dropDuplicates(["h"])
     texts = store(texts, "line-texts")
     lines = store(_line_table(texts.select("first_id", "h", "lines")), "lines")
-    levels = [store(_rank(lines.select("pid", "start", "words", "line"), ["line"]), "line-ranks")]
+    levels = [store(_rank(lines.select("pid", "start", "at", "words", "line"), ["line"]), "line-ranks")]
 
     # Stretches of repeated lines, and in them the shortest runs with enough words.
     base = levels[0].withColumn("stretch", F.col("pid") - F.row_number().over(Window.partitionBy("start").orderBy("pid")))
@@ -104,7 +104,8 @@ def find_copies(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     keys = ["len", "r1", "r2"]
     copies = named.join(named.groupBy(*keys).agg(F.min("pid").alias("first")), keys).where("pid > first")
     dead = copies.select(F.explode(F.sequence(F.col("pid"), F.col("pid") + F.col("len") - 1)).alias("pid")).distinct()
-    place = lines.select("h", "pid", "at").join(dead, "pid").groupBy("h").agg(F.collect_list("at").alias("dead"))
+    place = levels[0].select("pid", "start", "at").join(dead, "pid").groupBy("start").agg(F.collect_list("at").alias("dead"))
+    place = place.join(lines.where("h is not null").select("start", "h"), "start").drop("start")
     out = store(
         texts.select("h", "first_id", "all_words", "copied").join(place, "h", "left").where(f"dead is not null or copied and all_words >= {min_words}").drop("copied"),
         "line-dead",
