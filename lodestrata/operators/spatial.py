@@ -98,12 +98,30 @@ def moran_all_pairs(matrix: DataFrame, centroids: DataFrame, least: float = 1.0)
     names = sorted(r.variable for r in z.select("variable").distinct().collect())
     sums = spatial_sums(centroids, wide(z, names, "z"), names, least).persist()
     s0 = sums.agg(F.sum("weight_sum").alias("s0"))
-    pairs = [F.struct(F.lit(n).alias("variable_j"), F.col(f"lag_{n}").alias("lag")) for n in names]
     if not names:
         return matrix.sparkSession.createDataFrame([], "variable_i string, variable_j string, moran_i double")
-    lags = sums.select("area", F.explode(F.array(*pairs)).alias("p")).select("area", "p.variable_j", "p.lag")
-    met = z.join(lags, "area").where("variable <= variable_j").groupBy(F.col("variable").alias("variable_i"), "variable_j").agg(F.sum(F.col("z") * F.col("lag")).alias("top"))
-    return met.crossJoin(F.broadcast(s0)).select("variable_i", "variable_j", F.try_divide("top", "s0").alias("moran_i"))
+    rows = sums.drop("weight_sum").join(wide(z, names, "z"), "area")
+    met = products(rows, names, [f"lag_{n}" for n in names], upper=True)
+    name = lambda k: F.get(F.array(*[F.lit(n) for n in names]), F.col(k))
+    return met.crossJoin(F.broadcast(s0)).select(name("i").alias("variable_i"), name("j").alias("variable_j"), F.try_divide("top", "s0").alias("moran_i"))
+
+
+def products(rows: DataFrame, left: list[str], right: list[str], upper: bool = False) -> DataFrame:
+    """i, j, top: the sum over all rows of left[i] * right[j]; only i <= j if ``upper``.
+
+    Every task multiplies its rows as one matrix product and passes on the
+    sums, so what is shuffled is pairs times tasks, whatever the number of
+    rows.  A task holds one square of pairs: 50 MB for 2,500 variables.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(left), len(right)))
+        for batch in batches:
+            total += np.nan_to_num(batch[left].to_numpy(float)).T @ np.nan_to_num(batch[right].to_numpy(float))
+        i, j = np.triu_indices(len(left), 0, len(right)) if upper else np.indices(total.shape).reshape(2, -1)
+        yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "top": total[i, j]})
+
+    return rows.select(*left, *right).mapInPandas(run, "i int, j int, top double").groupBy("i", "j").agg(F.sum("top").alias("top"))
 
 
 def moran(matrix: DataFrame, centroids: DataFrame, x: str, y: str, least: float = 1.0) -> DataFrame:
@@ -181,9 +199,14 @@ def knn_correlation(matrix: DataFrame, neighbours: DataFrame, x: str, y: str, k:
 
 
 def knn_all_pairs(matrix: DataFrame, neighbours: DataFrame, k: int) -> DataFrame:
-    """variable_i, variable_j, knn_corr for all ordered pairs (the intended form isn't symmetric)."""
+    """variable_i, variable_j, knn_corr for all ordered pairs (the intended form isn't symmetric); every area has every variable."""
     z = z_scores(matrix).persist()
-    near = neighbours.select("area", "neighbour").join(z.select(F.col("area").alias("neighbour"), "variable", "z"), "neighbour").groupBy("area", "variable").agg(F.sum("z").alias("far"))
-    pooled = z.join(near, ["area", "variable"], "left").select("area", F.col("variable").alias("variable_j"), (F.col("z") + 0.5 * F.coalesce("far", F.lit(0.0))).alias("pooled"))
-    met = z.join(pooled, "area").groupBy(F.col("variable").alias("variable_i"), "variable_j").agg(F.sum(F.col("z") * F.col("pooled")).alias("top"), F.count(F.lit(1)).alias("n"))
-    return met.select("variable_i", "variable_j", (F.col("top") / (F.col("n") * (1 + 0.5 * k))).alias("knn_corr"))
+    names = sorted(r.variable for r in z.select("variable").distinct().collect())
+    if not names:
+        return matrix.sparkSession.createDataFrame([], "variable_i string, variable_j string, knn_corr double")
+    own = wide(z, names, "z").persist()
+    far = neighbours.select(F.col("area").alias("at"), F.col("neighbour").alias("area")).join(own, "area").groupBy("at").agg(*[F.sum(n).alias(f"far_{n}") for n in names]).withColumnRenamed("at", "area")
+    rows = own.join(far, "area", "left").select(*names, *[(F.col(n) + 0.5 * F.coalesce(f"far_{n}", F.lit(0.0))).alias(f"pooled_{n}") for n in names])
+    met = products(rows, names, [f"pooled_{n}" for n in names]).crossJoin(F.broadcast(own.agg(F.count(F.lit(1)).alias("n"))))
+    name = lambda k: F.get(F.array(*[F.lit(n) for n in names]), F.col(k))
+    return met.select(name("i").alias("variable_i"), name("j").alias("variable_j"), (F.col("top") / (F.col("n") * (1 + 0.5 * k))).alias("knn_corr"))

@@ -11,7 +11,7 @@ from .base import Listed, read, rounded
 query = Listed()
 QUERIES, ORACLES = query.queries, query.oracles
 
-DIMS = range(2, 8)
+DIMS = range(2, 64)
 
 
 def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def variables(spark: SparkSession, sf_dir: str) -> DataFrame:
 AREAS = "a AS (SELECT vec_id AS area, embedding[1]::DOUBLE * 100 AS x, embedding[2]::DOUBLE * 100 AS y, embedding[3]::DOUBLE AS vx, embedding[4]::DOUBLE AS vy FROM embeddings)"
 WEIGHTS = "w AS (SELECT p.area AS i, q.area AS j, CASE WHEN sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)) < 1 THEN 1.0 ELSE 1.0 / sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)) END AS w FROM a p, a q)"
 Z = "z AS (SELECT area, (vx - avg(vx) OVER ()) / stddev_samp(vx) OVER () AS zx, (vy - avg(vy) OVER ()) / stddev_samp(vy) OVER () AS zy FROM a)"
-LONG = "m AS (" + " UNION ALL ".join(f"SELECT vec_id AS area, 'd{k}' AS variable, embedding[{k + 1}]::DOUBLE AS v FROM embeddings" for k in DIMS) + ")"
+LONG = "m AS (SELECT vec_id AS area, 'd' || (k - 1) AS variable, embedding[k]::DOUBLE AS v FROM embeddings, range(3, 65) r(k))"
 
 
 @query(f"WITH {AREAS}, {WEIGHTS} SELECT (SELECT count(*) FROM a) AS n_areas, round(sum(w), 4) AS s0 FROM w")
