@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontaminate, language, pieces, pivots, secrets, urls
 from .base import read
 from .lines import dedup_lines
+from .oracles import ORACLES as ORACLES
 from .sharding import shard
 from .simhash import near_duplicates
 from .surrogates import pseudonymise
@@ -75,5 +76,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_sharding": op10_sharding,
 }
-
-ORACLES: dict[str, str] = {}
