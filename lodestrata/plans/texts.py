@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import documents
-from ..sources import catalogue, files, sinks
+from ..sources import catalogue, files, profile, sinks
 from .base import Listed, read, rounded
 
 query = Listed()
@@ -145,3 +145,17 @@ def map_records(spark, sf_dir):
 def dataset_resources(spark, sf_dir):
     rows = catalogue.join_resources(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), read(spark, sf_dir, "orders"), "c_custkey", "o_custkey", "o_orderkey")
     return rows.select("c_custkey", "c_name", F.array_join(F.col("links").cast("array<string>"), ",").alias("links"))
+
+
+@query("""WITH c AS (SELECT 0 AS position, 'c_custkey' AS "column", c_custkey::VARCHAR AS raw FROM customer UNION ALL SELECT 1, 'c_name', trim(c_name) FROM customer UNION ALL SELECT 2, 'c_nationkey', c_nationkey::VARCHAR FROM customer UNION ALL SELECT 3, 'c_mktsegment', trim(c_mktsegment) FROM customer)
+SELECT position::INT AS position, "column", count(*) FILTER (raw <> '') > 0 AND count(*) FILTER (raw <> '') = count(try_cast(raw AS DOUBLE)) AS is_numeric, count(*) FILTER (raw <> '') = count(*) AND count(DISTINCT raw) = count(*) AS is_index, min(try_cast(raw AS DOUBLE)) AS min_value, max(try_cast(raw AS DOUBLE)) AS max_value FROM c GROUP BY 1, 2""")
+def column_types(spark, sf_dir):
+    return profile.column_types(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), sample=None)
+
+
+@query("""WITH g AS (SELECT 'nation' AS name, n_nationkey::VARCHAR AS area FROM nation UNION ALL SELECT 'region', r_regionkey::VARCHAR FROM region),
+c AS (SELECT 0 AS position, 'c_custkey' AS "column", c_custkey::VARCHAR AS raw FROM customer UNION ALL SELECT 1, 'c_nationkey', c_nationkey::VARCHAR FROM customer)
+SELECT name, position::INT AS position, "column", round(count(*) / max(n), 6) AS prob FROM c JOIN g ON area = raw JOIN (SELECT position, count(*) AS n FROM c GROUP BY 1) USING (position) GROUP BY 1, 2, 3""")
+def geometry_candidates(spark, sf_dir):
+    known = read(spark, sf_dir, "nation").select(F.lit("nation").alias("name"), F.col("n_nationkey").alias("area")).union(read(spark, sf_dir, "region").select(F.lit("region"), "r_regionkey"))
+    return profile.geometry_candidates(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), known, sample=None).withColumn("prob", rounded("prob"))
