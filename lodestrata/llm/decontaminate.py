@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-from .base import slices
+from .base import slices, tune
 
 #: Words of a window; an item with fewer words is one window.
 WINDOW = 8
@@ -178,6 +178,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
     several broadcast sets and every document meets each of them in turn, one
     set in memory at a time for each pass.
     """
+    tune(docs.sparkSession)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col if text_col in benchmark.columns else "text").cast("string").alias("text")).where("item is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     sets = max(1, -(-total // set_bytes))
@@ -191,7 +192,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, part=part) -> Iterator[pa.RecordBatch]:
             table = shared.value
-            for batch in (part for whole in batches for part in slices(whole)):
+            for batch in slices(batches):
                 found = table.find(batch.column(at).to_pylist())
                 runs = [x[1] for x in found]
                 ids = [sorted(table.ids[i] for i in x[2]) for x in found]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .base import slices
+from .base import slices, tune
 
 ORDERS = (1, 2, 3)
 BITS = 16
@@ -65,7 +65,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total[lang] = np.zeros(1 << BITS, np.int64)
         total[lang] += np.bincount(np.concatenate(wait.pop(lang)), minlength=1 << BITS)
 
-    for batch in (part for whole in batches for part in slices(whole)):
+    for batch in slices(batches):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             wait.setdefault(lang, []).append(grams(text))
             if len(wait[lang]) >= 200 or len(wait[lang][-1]) > SLICE:
@@ -128,6 +128,7 @@ def train(labelled: DataFrame, smoothing: float = 0.01) -> Model:
     Rows with a null in either column are left out.  No rows give a model
     without languages, which answers 'und'.
     """
+    tune(labelled.sparkSession)
     rows = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
     found = rows.mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     lang, bucket, n = (found.column(k) for k in ("lang", "bucket", "n"))
@@ -149,13 +150,14 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     The matrix is broadcast; its size is bounded by MOST entries.
     """
+    tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.logs))
     out = docs.drop("lang_pred", "score")
     at = out.columns.index(text_col)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
-        for batch in (part for whole in batches for part in slices(whole)):
+        for batch in slices(batches):
             lang, score = own.score(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 

@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from .base import slices
+from .base import slices, tune
 
 MARK = "▁"
 #: Characters of text whose distinct words are sorted together.
-SLICE = 1 << 22
+SLICE = 1 << 20
 #: Words whose ids a worker keeps, about: as many again that it met before those.
-KEPT = 200_000
+KEPT = 50_000
 
 
 class Vocabulary:
@@ -70,6 +70,11 @@ class Vocabulary:
         kind = ["byte" if m.is_byte(k) else "control" if m.is_control(k) else "unknown" if m.is_unknown(k) else "piece" for k in n]
         return cls([m.id_to_piece(k) for k in n], [m.get_score(k) for k in n], kind, merges)
 
+    def fresh(self) -> Vocabulary:
+        """The same without the words it keeps: for a new task."""
+        self.kept, self.older = {}, {}
+        return self
+
     def __reduce__(self):
         return Vocabulary, (self.pieces, self.scores, self.kinds, self.merges)
 
@@ -228,37 +233,73 @@ class Vocabulary:
         return raw[1:] if raw.startswith(" ") else raw
 
 
+def listed(packed: list[bytes | None]) -> pa.Array:
+    """Packed ids as an Arrow list column."""
+    ends = np.cumsum([0, *(len(p or b"") // 4 for p in packed)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(p or b"" for p in packed), np.int32)), mask=pa.array([p is None for p in packed]))
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
     """docs with ids, array<int>: null for a null text, empty for an empty one.
 
     No shuffle: words repeat within a slice of texts, and a worker keeps the
     ids of up to KEPT words.  The vocabulary is broadcast; its size is fixed.
     """
+    tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     out = docs.drop("ids")
     at = out.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in (part for whole in batches for part in slices(whole)):
-            packed = own.encode(batch.column(at).to_pylist())
-            ends = np.cumsum([0, *(len(p or b"") // 4 for p in packed)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(p or b"" for p in packed), np.int32)), mask=pa.array([p is None for p in packed]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
-        own.kept, own.older = {}, {}  # a worker waits for its next task without them
+        own = shared.value.fresh()
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, listed(own.encode(batch.column(at).to_pylist()))], [*batch.schema.names, "ids"])
 
     return out.mapInArrow(run, StructType(list(out.schema.fields)).add("ids", ArrayType(IntegerType())))
 
 
+def encode_and_check(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """docs without the text, but with ids (if asked), n_ids, ids_sha256 (of the ids as little-endian int32) and round_trip.
+
+    Encoding and decoding in one pass and one worker: round_trip says whether
+    decoding the ids gives the text back.  A null text has no ids and counts
+    as given back.
+    """
+    tune(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    rows = docs.drop("ids", "n_ids", "ids_sha256", "round_trip")
+    at = rows.columns.index(text_col)
+    kept = [k for k in range(len(rows.columns)) if k != at]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value.fresh()
+        for batch in slices(batches):
+            texts = batch.column(at).to_pylist()
+            packed = own.encode(texts)
+            made = {
+                "n_ids": pa.array([len(p or b"") // 4 for p in packed], pa.int64()),
+                "ids_sha256": pa.array([None if p is None else hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
+                "round_trip": pa.array([p is None or own.decode(np.frombuffer(p, np.int32)) == t for p, t in zip(packed, texts, strict=True)]),
+            }
+            made = ({"ids": listed(packed)} if with_ids else {}) | made
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *made.values()], [*(batch.schema.names[k] for k in kept), *made])
+
+    schema = StructType([rows.schema.fields[k] for k in kept])
+    if with_ids:
+        schema = schema.add("ids", ArrayType(IntegerType()))
+    return rows.mapInArrow(run, schema.add("n_ids", "long").add("ids_sha256", "string").add("round_trip", "boolean"))
+
+
 def decode(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> DataFrame:
     """rows with decoded (the text, null for null ids) and ids_sha256 (of the ids as little-endian int32)."""
+    tune(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
     out = rows.drop("decoded", "ids_sha256")
     at = out.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in (part for whole in batches for part in slices(whole)):
+        for batch in slices(batches):
             col = batch.column(at)
             values, ends, null = col.values.to_numpy(zero_copy_only=False).astype(np.int32, copy=False), col.offsets.to_numpy(), col.is_null().to_pylist()
             each = [None if gone else values[ends[k] : ends[k + 1]] for k, gone in enumerate(null)]
@@ -270,6 +311,5 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> Dat
 
 
 def summary(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_ids, ids_sha256 and round_trip (whether decoding gives the text back) of every row."""
-    rows = decode(encode(docs.select(F.col(id_col), F.col(text_col).alias("text")), vocabulary), vocabulary)
-    return rows.select(id_col, F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), "ids_sha256", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    """id, n_ids, ids_sha256 and round_trip of every row."""
+    return encode_and_check(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")), vocabulary, with_ids=False)

@@ -72,6 +72,9 @@ def test_rows(spark, vocabulary):
     assert len(got) == 5 and all(r.round_trip for r in got)
     assert {r.doc_id: r.n_ids for r in got}[1] == 0
     assert pieces.summary(df.where("false"), vocabulary).collect() == []
+    both = pieces.decode(pieces.encode(df, vocabulary), vocabulary).collect()
+    assert all(r.decoded == r.text for r in both)
+    assert {(r.doc_id, r.ids_sha256) for r in both} == {(r.doc_id, r.ids_sha256) for r in got}
     assert [r.ids for r in pieces.encode(df, vocabulary).where("doc_id < 3").orderBy("doc_id").collect()] == [None, []]
 
 
