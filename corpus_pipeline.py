@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import decontaminate, language, lines, pieces, simhash
-from lodestrata.llm.base import read, store
+from lodestrata.llm.base import beside, read, store
 from lodestrata.llm.queries import VOCABULARY
 
 #: No SQL: naive Bayes, 64-bit SimHash and the piece vocabulary have none in DuckDB.
@@ -38,11 +38,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each SimHash component; of rows
-    with equal id and text one stays.  Documents without id stay unless their
-    component has one with an id."""
+    with equal id and text one stays.  Different texts with one id stay if one
+    of them does, and documents without id stay, equal texts once."""
     named = simhash.near_duplicates(docs.select("doc_id", "text"), words=3, radius=2)
-    keep = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    named = store(named.groupBy("doc_id").agg(F.max("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "near-named")
+    gone = named.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
+    kept = docs.join(beside(gone), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    repeated = named.where("n > 1").select(F.col("doc_id").alias("_id"))
+    if repeated.isEmpty():
+        return kept
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    once = kept.join(beside(repeated), same, "left_anti")
+    return once.union(kept.join(beside(repeated), same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +59,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_ids, and whether decoding the ids gives the text back."""
-    vocabulary = pieces.Vocabulary.load(VOCABULARY)
-    rows = pieces.decode(pieces.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary), vocabulary)
-    return rows.select("doc_id", "lang", "source", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    return pieces.encode_and_check(docs.select("doc_id", "lang", "source", "text"), pieces.Vocabulary.load(VOCABULARY)).drop("ids_sha256")
 
 
 STAGES = [
