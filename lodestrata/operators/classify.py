@@ -198,7 +198,7 @@ def choose_geometry(candidates: DataFrame, hints: DataFrame, by: list[str] | Non
     ranked = candidates.withColumn("rank", F.row_number().over(part.orderBy(F.desc("prob"), "name")))
     top = ranked.withColumn("first", F.max(F.when(F.col("rank") == 1, F.col("prob"))).over(part)).withColumn("second", F.max(F.when(F.col("rank") == 2, F.col("prob"))).over(part))
     tied = F.coalesce(F.abs(F.col("first") - F.col("second")) <= 1.4e-45, F.lit(False))
-    scored = top.join(F.broadcast(hints.select("name", "factor")), "name", "left").withColumn("score", F.when(tied, F.col("prob") * F.coalesce("factor", F.lit(1.0))).otherwise(F.col("prob")))
+    scored = top.join(hints.select("name", "factor"), "name", "left").withColumn("score", F.when(tied, F.col("prob") * F.coalesce("factor", F.lit(1.0))).otherwise(F.col("prob")))
     return scored.withColumn("place", F.row_number().over(part.orderBy(F.desc("score"), F.desc("prob"), "name"))).where("place = 1").select(*candidates.columns, "score")
 
 

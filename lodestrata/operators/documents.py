@@ -20,10 +20,10 @@ def words_of(docs: DataFrame, doc: str, text: str, html: bool = False, shortest:
 
 
 def without_stop_words(words: DataFrame, stop: DataFrame | list[str]) -> DataFrame:
-    """words not in the list: a broadcast anti-join, as a stop list is short."""
+    """words not in the list; a list in a table is an anti-join, broadcast by Spark if it is short."""
     if isinstance(stop, list):
         return words.where(~F.col("word").isin(stop))
-    return words.join(F.broadcast(stop.select("word").distinct()), "word", "left_anti")
+    return words.join(stop.select("word").distinct(), "word", "left_anti")
 
 
 def histogram(words: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -233,9 +233,9 @@ def keyword_graph(index: DataFrame, order: DataFrame | None = None, least_docs:
 
 
 def first_seen(words: DataFrame) -> DataFrame:
-    """word, ord: words numbered by where they first stand, as (document, position)."""
+    """word, ord: where each word first stands, as (document, position, word), which orders words without numbering them."""
     first = words.groupBy("word").agg(F.min(F.struct("doc", "pos")).alias("first"))
-    return first.select("word", F.row_number().over(Window.orderBy("first", "word")).alias("ord"))
+    return first.select("word", F.struct("first", "word").alias("ord"))
 
 
 def flatten(edges: DataFrame) -> DataFrame:

@@ -26,8 +26,8 @@ def build(areas: DataFrame, tables: list[DataFrame]) -> DataFrame:
     long = tables[0]
     for t in tables[1:]:
         long = long.unionByName(t)
-    names = long.select("variable").distinct()
-    spine = areas.select("area").distinct().crossJoin(F.broadcast(names))
+    names = [r.variable for r in long.select("variable").distinct().orderBy("variable").collect()]  # columns of tables
+    spine = areas.select("area").distinct().select("area", F.explode(F.array(*[F.lit(n) for n in names]).cast("array<string>")).alias("variable"))
     return spine.join(long, ["area", "variable"], "left").select("area", "variable", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
