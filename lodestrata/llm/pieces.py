@@ -43,18 +43,18 @@ class Vocabulary:
         self.ids = {p: k for k, p in enumerate(pieces) if kinds[k] == "piece"}
         self.bytes = {int(p[1:-1], 16): k for k, p in enumerate(pieces) if kinds[k] == "byte"}
         self.unknown = kinds.index("unknown") if "unknown" in kinds else None
-        #: Pieces by their characters from last to first: (number or None, next).
-        self.ends: tuple = (None, {})
+        #: Pieces by their characters from last to first: character to (number or None, next, what fits before).
+        self.ends: dict[str, tuple] = {}
         for p, k in self.ids.items():
-            node = self.ends
+            level = self.ends
             for c in p[:0:-1]:
-                node = node[1].setdefault(c, (None, {}))
-            node[1][p[0]] = (k, node[1][p[0]][1] if p[0] in node[1] else {})
+                level = level.setdefault(c, (None, {}, {}))[1]
+            level[p[0]] = (k, level[p[0]][1] if p[0] in level else {}, {})
         self.longest = max(map(len, self.ids), default=1)
         joined = {c for p in self.ids if len(p) > 1 for c in p} - {MARK}
         own = "".join(map(re.escape, sorted(joined)))
         self.split = re.compile(f"{MARK}*[{own}]+|{MARK}+|[^{own}{MARK}]+" if own else f"{MARK}+|[^{MARK}]+").findall
-        self.fit: dict[int, bool] = {}
+        self.learnt = 0
         self.packs = [np.int32(k).tobytes() for k in range(len(pieces))]
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -121,47 +121,50 @@ class Vocabulary:
 
     def encode_words(self, words: set[str]) -> dict[str, bytes]:
         """Packed ids of each word, walking the sorted words as a trie."""
-        packs, ends, none = self.packs, self.ends, (None, {})
-        code, fit, longest, scores, size = self.ids.get, self.fit, self.longest, self.scores, len(self.pieces)
+        packs, ends, merges, learnt = self.packs, self.ends, self.merges, 0
+        code, longest, scores, size = self.ids.get, self.longest, self.scores, len(self.pieces)
         poorest = min(scores, default=0.0) - 10
         out: dict[str, bytes] = {}
         before = ""
         #: For each prefix length: where its last piece starts, that piece's number, and its score.
         start, last, best = [0], [-1], [0.0]
         for word in sorted(words):
-            if self.merges and word.startswith(MARK * 2):  # runs of marks tie in score: merged as they are
+            if merges and word.startswith(MARK * 2):  # runs of marks tie in score: merged as they are
                 out[word] = self.pack(self.merge(word))
                 continue
-            n, same = len(word), 0
+            n, same, failed = len(word), 0, False
             top = min(n, len(before))
             while same < top and word[same] == before[same]:
                 same += 1
             del start[same + 1 :], last[same + 1 :], best[same + 1 :]
             for i in range(same + 1, n + 1):
-                if self.merges:
+                if merges:
                     # Backwards from i, as long as some piece ends so; just one fits what stands before it.
-                    node = ends
-                    for a in range(i - 1, -1, -1):
-                        node = node[1].get(word[a], none)
-                        k = node[0]
-                        if k is None:
-                            if a + 1 < i:
-                                if node is none:
-                                    start.append(-1)
-                                    break
-                                continue
-                            k = size + ord(word[a])  # a character without a piece
-                        pair = (last[a] + 1 << 22) + k
-                        ok = fit.get(pair)
-                        if ok is None:
-                            both = [word[start[a] : a], word[a:i]] if a else [word[:i]]
-                            ok = fit[pair] = self.merge("".join(both)) == both
-                        if ok:
-                            start.append(a)
-                            last.append(k)
+                    level, a = ends, i
+                    while a:
+                        a -= 1
+                        node = level.get(word[a])
+                        if node is None:
+                            a = -1
                             break
-                    if len(start) <= i or start[i] < 0:  # merges that don't follow from pairs
-                        break
+                        k, level, known = node
+                        if k is not None:
+                            ok = known.get(last[a])
+                            if ok is None:
+                                both = [word[start[a] : a], word[a:i]] if a else [word[:i]]
+                                ok = known[last[a]] = self.merge("".join(both)) == both
+                                learnt += 1
+                            if ok:
+                                break
+                    else:
+                        a = -1
+                    if a < 0:
+                        if code(word[i - 1]) is not None:
+                            failed = True  # merges that don't follow from pairs
+                            break
+                        a, k = i - 1, size + ord(word[i - 1])  # a character without a piece
+                    start.append(a)
+                    last.append(k)
                 else:
                     found, at = -float("inf"), i - 1
                     for a in range(max(0, i - longest), i):
@@ -173,7 +176,7 @@ class Vocabulary:
                     start.append(at)
                     last.append(size + ord(word[at]) if k is None else k)
                     best.append(found)
-            if len(start) <= n or start[n] < 0:
+            if failed:
                 out[word] = self.pack(self.merge(word))
                 before = ""
                 del start[1:], last[1:], best[1:]
@@ -186,8 +189,13 @@ class Vocabulary:
                 parts.append(packs[k] if k < size else self.pack_char(chr(k - size)))
             parts.reverse()
             out[word] = b"".join(parts)
-        if len(fit) > 1_000_000:
-            fit.clear()
+        self.learnt += learnt
+        if self.learnt > 1_000_000:
+            self.learnt, levels = 0, [ends]
+            while levels:
+                for _, level, known in levels.pop().values():
+                    known.clear()
+                    levels.append(level)
         return out
 
     def words(self, text: str) -> list[list[str]]:
