@@ -101,3 +101,14 @@ def tune(spark: SparkSession) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, "1000")
+
+
+def veiled(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns under names no operator uses, and the new name of each."""
+    names = {c: f"column_{k}" for k, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def unveiled(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Just the columns that were veiled, under their own names."""
+    return df.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-from .base import slices, tune
+from .base import slices, tune, unveiled, veiled
 
 #: Words of a window; an item with fewer words is one window.
 WINDOW = 8
@@ -224,18 +224,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     With ``spans`` all documents stay and their hit words are cut out, from the
     start of the first to the end of the last word of each run.
     """
-    found = find_hits(docs, benchmark, text_col)
+    plain, own = veiled(docs)
+    items = benchmark.withColumnRenamed("text", own[text_col])
+    found = find_hits(plain, items, own[text_col])
     if not spans:
-        return found.where(F.size("hit_items") < least_items).select(*docs.columns)
-    names = docs.columns
-    at = names.index(text_col)
+        return unveiled(found.where(F.size("hit_items") < least_items), own)
+    names = plain.columns
+    at = names.index(own[text_col])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [without(t, [(r["a"], r["b"]) for r in runs]) for t, runs in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))], names)
 
-    return found.select(*names, "n_words", "hit_runs", "hit_items").mapInArrow(cut, docs.schema)
+    return unveiled(found.select(*names, "n_words", "hit_runs", "hit_items").mapInArrow(cut, plain.schema), own)
 
 
 def without(text: str | None, runs: list[tuple[int, int]]) -> str | None:

@@ -50,10 +50,10 @@ def test_stages(spark, tiny):
 def test_odd_rows(spark, tiny):
     text = "the river and the bridge are near the old school of the town "
     rows = [(1, text * 8, "en", "a", 9), (1, text * 8, "en", "a", 9), (2, None, None, None, None), (3, "", "en", "b", 0), (4, "12 !", "en", "b", 4), (None, text * 8, "en", "b", 1), (None, "other words here", None, "c", 1), (5, text * 9, "en", "b", 3)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as h", "2 as component_id")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as h", "2 as component_id", "'own' as score", "7 as n_words", "8 as n_deleted", "'q' as hit_items", "9 as lang_pred")
     for _, stage in cp.STAGES[:-1]:
         docs = stage(spark, docs, tiny)
-        assert "component_id" in docs.columns and "h" in docs.columns
+        assert {(r.h, r.component_id, r.score, r.n_words, r.n_deleted, r.hit_items, r.lang_pred) for r in docs.collect()} == {(1, 2, "own", 7, 8, "q", 9)}
     got = cp.tokenise(spark, docs, tiny).collect()
     assert sorted(str(r.doc_id) for r in got) == ["1", "None"] or sorted(str(r.doc_id) for r in got) == ["1", "5", "None"]
     empty = docs.where("false")
