@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import decontaminate, language, lines, pieces, simhash
-from lodestrata.llm.base import beside, read, store
+from lodestrata.llm.base import beside, read, store, unveiled, veiled
 from lodestrata.llm.queries import VOCABULARY
 
 #: No SQL: naive Bayes, 64-bit SimHash and the piece vocabulary have none in DuckDB.
@@ -22,7 +22,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language: null texts, texts without letters, and
     those whose likeliest language has a posterior below one half."""
     model = language.train(docs.where(~language.held_out()).select("lang", "text"))
-    return language.identify(docs, model).where("lang_pred <> 'und' and score >= 0.5").select(*docs.columns)
+    plain, names = veiled(docs)
+    return unveiled(language.identify(plain, model, names["text"]).where("lang_pred <> 'und' and score >= 0.5"), names)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +31,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     n_chars follows the text where lines went.
     """
-    out = lines.dedup_lines(docs, min_words=50)
+    plain, names = veiled(docs)
+    text, n_chars = names["text"], names.get("n_chars")
+    out = lines.dedup_lines(plain, 50, names["doc_id"], text)
     changed = F.col("n_deleted") > 0
-    columns = [F.when(changed, F.length("text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.where(~(changed & (F.trim(F.col("text")) == ""))).select(*columns)
+    out = out.where(~(changed & (F.trim(F.col(text)) == "")))
+    if n_chars:
+        out = out.withColumn(n_chars, F.when(changed, F.length(text)).otherwise(F.col(n_chars)).cast(docs.schema["n_chars"].dataType))
+    return unveiled(out, names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
