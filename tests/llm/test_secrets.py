@@ -70,3 +70,12 @@ def test_query(spark, tiny):
     df = op9_secrets(spark, tiny)
     check(df.collect(), texts)
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_odd_rows(spark, model):
+    df = spark.createDataFrame([(1, None), (None, "token=abcdefgh"), (1, None)], "doc_id long, text string").selectExpr("*", "1 as extra", "'x' as spans")
+    got = secrets.summary(secrets.scan(df.drop("spans"), model)).collect()
+    assert sorted((r.doc_id or 0, r.n_assign, r.spans) for r in got) == [(0, 1, "assign:0:14"), (1, 0, ""), (1, 0, "")]
+    assert secrets.scan(df.where("false"), model).collect() == []
+    blob = "Zx9" * 200_000
+    assert secrets.summary(secrets.scan(spark.createDataFrame([(blob,)], "text string"), model)).first().n_hex == 0
