@@ -14,8 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Areas whose coordinates a task may hold: 64 MB.  More are dealt in blocks.
-BLOCK = 1 << 22
+#: Numbers (coordinates and values of areas) that are broadcast at once: 64 MB.  More areas are dealt in blocks.
+BLOCK = 1 << 23
 
 
 def weight(distance: Column, least: float = 1.0) -> Column:
@@ -34,9 +34,9 @@ def z_scores(matrix: DataFrame, area: str = "area", variable: str = "variable",
     return matrix.join(stats, variable).select(area, variable, ((F.col(value) - F.col("mean")) / F.col("sd")).alias("z"))
 
 
-def _deal(centroids: DataFrame) -> DataFrame:
-    """centroids with a block number, so that a block's rows fit a task."""
-    blocks = max(1, -(-centroids.count() // BLOCK))
+def _deal(centroids: DataFrame, columns: int = 2) -> DataFrame:
+    """centroids with a block number, so that a block of so many columns fits a broadcast."""
+    blocks = max(1, -(-centroids.count() * columns // BLOCK))
     return centroids.withColumn("block", F.pmod(F.xxhash64("area"), F.lit(blocks)))
 
 
@@ -50,7 +50,7 @@ def spatial_sums(centroids: DataFrame, values: DataFrame, columns: list[str], le
     """
     spark = centroids.sparkSession
     zero = [F.coalesce(F.col(c), F.lit(0.0)).cast("double").alias(c) for c in columns]
-    rows = _deal(centroids.select("area", F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"))).join(values.select("area", *columns), "area", "left").select("area", "_x", "_y", "block", *zero)
+    rows = _deal(centroids.select("area", F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y")), 2 + len(columns)).join(values.select("area", *columns), "area", "left").select("area", "_x", "_y", "block", *zero)
     rows = rows.persist()
     total = None
     for block in [r.block for r in rows.select("block").distinct().collect()]:

@@ -77,7 +77,7 @@ def grid(spark, n=40, seed=2, blocks=None):
     return xy, v, cents, m
 
 
-@pytest.mark.parametrize("block", [1 << 22, 7])
+@pytest.mark.parametrize("block", [1 << 23, 40])
 def test_moran_fast_is_naive(spark, monkeypatch, block):
     monkeypatch.setattr(spatial, "BLOCK", block)
     xy, v, cents, m = grid(spark)
