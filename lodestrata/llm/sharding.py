@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Callable
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,19 +33,28 @@ LAST = bytes([255] * 32)
 class OrderedSizes:
     """Prefix sums over ordered groups, known by block and loaded where needed.
 
-    ``load`` maps a list of blocks to {block: [(digest, size), ...]}.
+    ``load`` maps a list of block ranges (first, last) to {block: [(digest,
+    size), ...]}.  With a block its ``reach`` nearest on either side are loaded.
     """
 
-    def __init__(self, sums: dict[int, int], load: Callable[[list[int]], dict[int, list[tuple[bytes, int]]]]):
+    def __init__(self, sums: dict[int, int], load: Callable[[list[tuple[int, int]]], dict[int, list[tuple[bytes, int]]]], reach: int = 0):
+        self.reach = reach
         self.blocks = sorted(b for b, s in sums.items() if s > 0)
         self.ends = list(accumulate(sums[b] for b in self.blocks))
         self.total = self.ends[-1] if self.ends else 0
         self.load, self.inner = load, {}
 
     def fetch(self, places: list[int]) -> None:
-        new = sorted({p for p in places if 0 <= p < len(self.blocks)} - self.inner.keys())
+        wanted = {p for p in places if 0 <= p < len(self.blocks)} - self.inner.keys()
+        new = sorted({q for p in wanted for q in range(max(0, p - self.reach), min(len(self.blocks), p + self.reach + 1))} - self.inner.keys())
         if new:
-            got = self.load([self.blocks[p] for p in new])
+            runs = [[self.blocks[new[0]]] * 2]
+            for before, p in pairwise(new):
+                if p == before + 1:
+                    runs[-1][1] = self.blocks[p]
+                else:
+                    runs.append([self.blocks[p]] * 2)
+            got = self.load([(a, b) for a, b in runs])
             for p in new:
                 rows = sorted(got.get(self.blocks[p], []))
                 start = self.ends[p - 1] if p else 0
@@ -95,7 +104,25 @@ class OrderedSizes:
             cuts.append(at)
         return at >= self.total, cuts
 
+    def ahead(self, capacity: int, shards: int, at: int) -> None:
+        """Load the blocks in which greedy cuts will fall, all at once: cuts are guessed where a block isn't known, a few times."""
+        for _ in range(3):
+            x, new = at, []
+            for _ in range(shards):
+                x += capacity
+                p = self.place(x)
+                if p == len(self.blocks):
+                    break
+                if p in self.inner:
+                    x = self.floor(x)
+                else:
+                    new.append(p)
+            if not new:
+                return
+            self.fetch(new)
+
     def fits(self, capacity: int, shards: int, at: int = 0) -> bool:
+        self.ahead(capacity, shards, at)
         for _ in range(shards):
             if at >= self.total:
                 return True
@@ -113,8 +140,6 @@ class OrderedSizes:
 
         lo = -(-self.total // shards)
         hi = least(lo, self.total, lambda c: self.rough(c, shards, False)[0])
-        near = zip(self.rough(lo, shards, False)[1], self.rough(hi, shards, True)[1], strict=True)
-        self.fetch([p for a, b in near if b - a <= 4 * (hi - lo + 1) for p in range(self.place(a), min(self.place(b), self.place(a) + 8) + 1)])
         return least(lo, hi, lambda c: self.fits(c, shards))
 
     def cuts(self, shards: int) -> list[int]:
@@ -123,6 +148,7 @@ class OrderedSizes:
         if not self.total:
             return [0] * (shards - 1)
         capacity, at, found = self.capacity(shards), 0, []
+        self.fetch([self.place(self.total * k // shards) for k in range(1, shards)])
         for left in range(shards, 1, -1):
             share = at + -(-(self.total - at) // left)
             for end in (self.ceil(share), self.floor(share), self.floor(at + capacity)):
@@ -168,22 +194,26 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
         "shard-ranked",
     )
     groups = ranked.groupBy("block", "h").agg(F.sum("size").alias("size"))
-    sums = {r["block"]: r["size"] for r in ranked.groupBy("block").agg(F.sum("size").alias("size")).collect()}
+    per_block = ranked.groupBy("block").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
+    sums = {r["block"]: r["size"] for r in per_block}
     largest = [(r["size"], bytes(r["h"]), r["block"]) for r in groups.orderBy(F.desc("size"), "h").limit(shards).collect()]
     own = largest[: alone([x[0] for x in largest], sum(sums.values()), shards)]
     for size, _, block in own:
         sums[block] -= size
     giants = {h for _, h, _ in own}
 
-    def load(blocks: list[int]) -> dict[int, list[tuple[bytes, int]]]:
-        found: dict[int, list[tuple[bytes, int]]] = {b: [] for b in blocks}
-        some = ranked.where(F.col("block").isin(blocks)).groupBy("block", "h").agg(F.sum("size").alias("size"))
-        for r in some.collect():
+    def load(ranges: list[tuple[int, int]]) -> dict[int, list[tuple[bytes, int]]]:
+        found: dict[int, list[tuple[bytes, int]]] = {}
+        near = F.lit(False)
+        for first, last in ranges:
+            near = near | F.col("block").between(first, last)
+        for r in ranked.where(near).groupBy("block", "h").agg(F.sum("size").alias("size")).collect():
             if bytes(r["h"]) not in giants:
-                found[r["block"]].append((bytes(r["h"]), r["size"]))
+                found.setdefault(r["block"], []).append((bytes(r["h"]), r["size"]))
         return found
 
-    sizes = OrderedSizes(sums, load)
+    # Where blocks hold few rows, some of their neighbours come along: a few hundred rows for each cut.
+    sizes = OrderedSizes(sums, load, reach=256 * len(per_block) // max(1, sum(r["n"] for r in per_block)))
     keys = [sizes.key(end) for end in sizes.cuts(shards - len(own))]
 
     # Segments: runs of the order that lie in one shard.  A lifted group is a segment inside another shard's range.

@@ -23,17 +23,17 @@ def brute(sizes, shards):
         lo += 1
 
 
-def sizes_of(groups):
+def sizes_of(groups, reach=0):
     by = defaultdict(list)
     for h, n in groups:
         by[int.from_bytes(h[:2], "big")].append((h, n))
-    return OrderedSizes({b: sum(n for _, n in x) for b, x in by.items()}, lambda bs: {b: by[b] for b in bs})
+    return OrderedSizes({b: sum(n for _, n in x) for b, x in by.items()}, lambda ranges: {b: by[b] for b in by if any(x <= b <= y for x, y in ranges)}, reach)
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 30), min_size=1, max_size=40), st.integers(1, 8), st.integers(1, 4000))
 def test_capacity_is_the_smallest(sizes, shards, step):
-    got = sizes_of([((i * step % 65536).to_bytes(2, "big") + i.to_bytes(30, "big"), n) for i, n in enumerate(sizes)])
+    got = sizes_of([((i * step % 65536).to_bytes(2, "big") + i.to_bytes(30, "big"), n) for i, n in enumerate(sizes)], step % 4)
     order = [n for _, n in sorted(((i * step % 65536, i), n) for i, n in enumerate(sizes))]
     assert got.capacity(shards) == brute(order, shards)
     ends = [0, *got.cuts(shards), got.total]
