@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontaminate, language, lines, pieces, simhash
+from lodestrata.llm import decontaminate, language, lines, pieces, shingles
 from lodestrata.llm.base import beside, read, store, unveiled, veiled
 from lodestrata.llm.queries import VOCABULARY
 
-#: No SQL: naive Bayes, 64-bit SimHash and the piece vocabulary have none in DuckDB.
+#: No SQL: naive Bayes, near copies and the piece vocabulary have none in DuckDB.
 ORACLE_SQL: str | None = None
 
 
@@ -42,10 +42,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each SimHash component; of rows
-    with equal id and text one stays.  Different texts with one id stay if one
+    """Keep the document with the smallest id of each component of texts whose
+    5-word shingles have a Jaccard similarity of 0.8 or more; of rows with equal
+    id and text one stays.  Different texts with one id stay if one
     of them does, and documents without id stay, equal texts once."""
-    named = simhash.near_duplicates(docs.select("doc_id", "text"), words=3, radius=2)
+    named = shingles.near_duplicates(docs.select("doc_id", "text"), words=5, least=0.8)
     named = store(named.groupBy("doc_id").agg(F.max("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "near-named")
     gone = named.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
     kept = docs.join(beside(gone), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")

@@ -1,0 +1,171 @@
+"""Near copies by word shingles: bands of minima find candidates, the similarity of the shingle sets decides."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
+
+from .base import beside, slices, store, tune
+from .components import connected_components
+from .pivots import batches_of
+from .simhash import SEED, forest, hashed
+
+#: A pair of similarity s shares a band with probability 1 - (1 - s^ROWS)^BANDS: all but 5 in 10^8 at 0.8.
+BANDS, ROWS = 32, 4
+#: Sets in a tile, about, and pairs of tiles in one Arrow batch.
+TILE, PAIRS = 128, 8
+#: Shingles, or columns of a table of shingles, that are worked on at once.
+BLOCK = 4096
+_rng = np.random.default_rng(SEED)
+_flip = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None]
+_times = (_rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1))[:, None]
+
+
+def grams(text: str | None, words: int = 5) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted; none if it has no words."""
+    parts = [np.unique(np.array(h, np.uint64)) for h in hashed(text, words)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def name_of(own: np.ndarray) -> int:
+    """A 64-bit name of a set of shingles."""
+    return xxhash.xxh64_intdigest(own.tobytes(), SEED)
+
+
+def bands(own: np.ndarray) -> np.ndarray:
+    """One hash for each band: of ROWS minima of the shingles under different orders."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(own), BLOCK):
+        least = np.minimum(least, ((own[None, at : at + BLOCK] ^ _flip) * _times).min(axis=1))
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        key = (key ^ row) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(32)
+    return key
+
+
+def overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """The number of shingles that each of one has in common with each of two."""
+    both = np.intersect1d(np.concatenate(one), np.concatenate(two))
+    found = np.zeros((len(one), len(two)), np.float32)
+    for at in range(0, len(both), BLOCK):
+        some = both[at : at + BLOCK]
+        a, b = (np.stack([np.isin(some, x, assume_unique=True) for x in side]).astype(np.float32) for side in (one, two))
+        found += a @ b.T
+    return found
+
+
+def alike(common: np.ndarray, n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets of n and m shingles with so many in common have the least Jaccard similarity."""
+    return common >= least * (n + m - common) - 1e-9
+
+
+def _lists(col: pa.Array) -> list[np.ndarray]:
+    values, at = col.values.to_numpy(), col.offsets.to_numpy()
+    return [values[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
+def _signed(docs: DataFrame, words: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [grams(t, words) for t in batch.column(1).to_pylist()]
+            names = pa.array(np.array([name_of(s) for s in sets], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), names, pa.array([bands(s).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64()))], ["id", "node", "bands"])
+
+    return docs.mapInArrow(run, docs.select("id").schema.add("node", "long").add("bands", ArrayType(LongType())))
+
+
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [grams(t, words) for t in batch.column(0).to_pylist()]
+            names = pa.array(np.array([name_of(s) for s in sets], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([names, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "grams"])
+
+    return docs.select("text").mapInArrow(run, "node long, grams array<bigint>")
+
+
+def link(docs: DataFrame, own: DataFrame, words: int, least: float) -> DataFrame:
+    """Edges u, v that connect all sets whose similarity is at least ``least``; only such sets have an edge.
+
+    Sets that share a band are candidates.  First each meets the smallest of
+    its bucket, which settles most of a group of copies in as many rows as it
+    has members.  Then, in buckets that still hold several components, members
+    of different components are compared tile by tile, and each pair of tiles
+    returns a spanning forest.
+    """
+    spark = docs.sparkSession
+    rows = own.dropDuplicates(["node"]).select("node", F.explode("bands").alias("bucket"))
+    full = store(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1"), "shingle-buckets")
+    crowd = store(rows.join(beside(full), "bucket"), "shingle-crowd")
+    wanted = store(crowd.select("node").distinct(), "shingle-wanted")
+    sets = store(_sets(docs, words).join(beside(wanted), "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mine, theirs = _lists(batch.column(2)), _lists(batch.column(3))
+            common = np.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(mine, theirs, strict=True)], float)
+            keep = pa.array(alike(common, np.array([len(a) for a in mine], float), np.array([len(b) for b in theirs], float), least), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["u", "v"])
+
+    star = crowd.where("node <> lead").select("node", "lead").distinct()
+    pairs = star.join(sets, "node").join(sets.select(F.col("node").alias("lead"), F.col("grams").alias("theirs")), "lead").select("node", "lead", "grams", "theirs")
+    near = store(pairs.mapInArrow(meet, "u long, v long"), "shingle-stars")
+
+    roots = connected_components(near).withColumnRenamed("node", "_node")
+    placed = store(crowd.join(roots, F.col("node") == F.col("_node"), "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root")), "shingle-placed")
+    mixed = store(placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket"), "shingle-mixed")
+    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / TILE)).alias("chunk")
+    tiles = placed.join(beside(mixed), "bucket", "left_semi").select("bucket", "node", "root", chunk).join(sets, "node")
+    tiles = store(tiles.groupBy("bucket", "chunk").agg(F.collect_list(F.struct("node", "root", "grams")).alias("own")), "shingle-tiles")
+    pairs = tiles.alias("a").join(tiles.alias("b"), "bucket").where("a.chunk <= b.chunk").select(F.col("a.own").alias("one"), F.col("b.own").alias("two"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read(col: pa.Array):
+            flat = col.flatten()
+            return flat.field("node").to_numpy(), flat.field("root").to_numpy(), _lists(flat.field("grams"))
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                nodes, root, mine = read(batch.column(0).slice(k, 1))
+                nodes2, root2, theirs = read(batch.column(1).slice(k, 1))
+                n, m = np.array([len(x) for x in mine], float), np.array([len(x) for x in theirs], float)
+                maybe = (root[:, None] != root2[None, :]) & (np.minimum(n[:, None], m) >= least * np.maximum(n[:, None], m) - 1e-9)
+                r, c = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
+                if not len(r):
+                    continue
+                close = maybe[np.ix_(r, c)] & alike(overlaps([mine[i] for i in r], [theirs[j] for j in c]), n[r][:, None], m[c][None, :], least)
+                if close.any():
+                    ids, label = np.concatenate((nodes[r], nodes2[c])), np.concatenate(forest(close))
+                    moved = label != np.arange(len(ids))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], ["u", "v"])
+
+    with batches_of(spark, PAIRS):
+        more = store(pairs.mapInArrow(compare, "u long, v long"), "shingle-links")
+    return near.union(more)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """id and component_id of every row.
+
+    Texts are linked if the Jaccard similarity of their sets of shingles (runs
+    of so many words, in lower case; a shorter text is one shingle) is at least
+    ``least``.  component_id is the smallest id reachable, itself included.
+    Texts without words link with one another.  Repeated rows are all
+    returned.  Ids may be null: then they name no component unless they are all
+    there is.
+    """
+    tune(docs.sparkSession)
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    own = store(_signed(docs, words), "shingle-own")
+    roots = store(connected_components(link(docs, own, words, least)), "shingle-roots").withColumnRenamed("node", "_node")
+    nodes = own.groupBy("node").agg(F.min("id").alias("first"))
+    labelled = nodes.join(roots, F.col("node") == F.col("_node"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    named = labelled.join(labelled.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
+    return own.select("id", "node").join(named, "node").select(F.col("id").alias(id_col), "component_id")

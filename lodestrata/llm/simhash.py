@@ -24,14 +24,11 @@ PIECE = 1 << 22
 _space = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The 64-bit SimHash of a text: a bit is 1 if set in over half the shingle hashes.
-
-    Shingles are runs of so many words, repeats included; a text with fewer
-    words is one shingle, and a text without words has fingerprint zero.
-    """
+def hashed(text: str | None, words: int) -> Iterator[list[int]]:
+    """The shingle hashes of a text, piece by piece: runs of so many words, repeats
+    included; a text with fewer words is one shingle."""
     raw = (text or "").encode("utf-8", "surrogatepass").lower()
-    ones, n, at, carry = np.zeros(64, np.int64), 0, 0, []
+    at, carry, some = 0, [], False
     digest = xxhash.xxh64_intdigest
     while True:
         end = len(raw)
@@ -42,18 +39,26 @@ def fingerprint(text: str | None, words: int = 3) -> int:
         ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
         if len(own) >= words:
-            hashes = [digest(joined[s:e], SEED) for s, e in zip(starts[: len(own) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
-        elif end == len(raw) and not n and own:
-            hashes = [digest(joined, SEED)]
-        else:
-            hashes = []
-        if hashes:
-            bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones += bits.sum(axis=0, dtype=np.int64)
-            n += len(hashes)
+            some = True
+            yield [digest(joined[s:e], SEED) for s, e in zip(starts[: len(own) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
+        elif end == len(raw) and not some and own:
+            yield [digest(joined, SEED)]
         if end == len(raw):
             break
         carry, at = own[-(words - 1) :] if words > 1 else [], end
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """The 64-bit SimHash of a text: a bit is 1 if set in over half the shingle hashes.
+
+    Shingles are runs of so many words, repeats included; a text with fewer
+    words is one shingle, and a text without words has fingerprint zero.
+    """
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in hashed(text, words):
+        bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     if not n:
         return 0
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])

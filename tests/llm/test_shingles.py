@@ -1,0 +1,61 @@
+import random
+
+import corpus_pipeline as cp
+from lodestrata.llm import shingles
+
+from .test_simhash import roots
+
+
+def sets(text, words=5):
+    own = text.lower().split()
+    return {tuple(own[k : k + words]) for k in range(max(len(own) - words + 1, 1))} if own else set()
+
+
+def brute(texts, least=0.8):
+    s = [sets(t or "") for t in texts]
+    near = [(a, b) for a in range(len(s)) for b in range(a) if (not s[a] and not s[b]) or (s[a] or s[b]) and len(s[a] & s[b]) >= least * len(s[a] | s[b])]
+    return roots(len(s), near)
+
+
+def made(n=120):
+    rnd = random.Random(3)
+    word = lambda: f"w{rnd.randrange(3000)}"
+    bases = [[word() for _ in range(rnd.randrange(20, 200))] for _ in range(12)]
+    out = []
+    for k in range(n):
+        own = list(bases[min(k % 20, 11)])
+        for _ in range(rnd.randrange(1 + len(own) // 40)):
+            own[rnd.randrange(len(own))] = word()
+        out.append(" ".join(own))
+    return [*out, "one two", "One  two", "three", "", None, " "]
+
+
+def test_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "TILE", 9)
+    texts = made()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in shingles.near_duplicates(df).collect()}
+    want = brute(texts)
+    assert [got[k] for k in range(len(texts))] == want
+    assert len(set(want)) > 15
+
+
+def test_stage_drops_near_copies(spark, tiny):
+    rnd = random.Random(5)
+    words = [f"w{rnd.randrange(9999)}" for _ in range(300)]
+    near, far = list(words), list(words)
+    for k in range(5):  # 25 of 296 shingles: similarity 271/321
+        near[50 * k + 20] = "other"
+    for k in range(15):  # below 0.8
+        far[20 * k + 3] = "other"
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in cp.near_dedup(spark, df, tiny).collect()) == [1, 3]
+
+
+def test_stage_on_standard_tables(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").dropDuplicates(["text"])
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    top = brute([t for _, t in rows])
+    want = {i for k, (i, _) in enumerate(rows) if top[k] == k}
+    assert {r.doc_id for r in cp.near_dedup(spark, docs, tiny).collect()} == want
+    assert len(want) < len(rows)
