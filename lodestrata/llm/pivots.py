@@ -3,9 +3,13 @@
 Every vector is described by the order of its nearest reference points: the
 ``prefix`` nearest of the pivots, nearest first.  An inverted list for each
 pivot holds the vectors with that pivot in their prefix.  Two vectors are
-candidates if they share enough pivots; they are met in the list of the
-smallest pivot they share, so each pair once, and verified by their cosine in
-double precision.
+candidates if they share enough pivots, or one to which both are close; they
+are met in the list of the smallest pivot they share, so each pair once, and
+verified by their cosine in double precision.
+
+Pivots lie apart: no two are as near as a link.  A dense group, however large
+its share of the table, so has few pivots, and the order of the others tells
+its members' places as it does for any vector.
 """
 
 from __future__ import annotations
@@ -27,6 +31,10 @@ from .simhash import forest
 TILE = 512
 #: Pairs of tiles in one Arrow batch.
 PAIRS = 8
+#: Vectors among which each pivot is chosen.
+DRAWN = 16
+#: Cosines that pivots stay below, tried in this order while there are too few; the link's own is the last.
+APART = (0.4, 0.5, 0.6, 0.7, 0.8)
 
 
 @contextmanager
@@ -52,41 +60,68 @@ def rows_of(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def prefixes(x: np.ndarray, pivots: np.ndarray, prefix: int) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest pivots of each row, nearest first (of equals the smaller number), and the same as bits."""
-    near = np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :prefix]
-    bits = np.zeros((len(x), -(-len(pivots) // 64) * 64), np.uint8)
-    bits[np.arange(len(x))[:, None], near] = 1
-    return near.astype(np.int32), np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+def spread(drawn: np.ndarray, pivots: int, threshold: float) -> np.ndarray:
+    """Up to so many of the drawn unit vectors, in their order, no two with a cosine of the threshold or more.
+
+    Wide distances come first: nearer ones are taken only while there are too few.
+    """
+    taken = np.zeros(len(drawn), bool)
+    nearest = np.full(len(drawn), -np.inf)
+    for least in [x for x in APART if x < threshold] + [threshold]:
+        for k in range(len(drawn)):
+            if taken.sum() == pivots:
+                break
+            if not taken[k] and nearest[k] < least:
+                taken[k] = True
+                nearest = np.maximum(nearest, drawn @ drawn[k])
+    return drawn[taken]
+
+
+def prefixes(x: np.ndarray, pivots: np.ndarray, prefix: int, close: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest pivots of each row, nearest first (of equals the smaller number), and as bits these and those of them with a cosine of ``close``."""
+    cosine = x @ pivots.T
+    near = np.argsort(-cosine, axis=1, kind="stable")[:, :prefix]
+    bits = np.zeros((len(x), 2, -(-len(pivots) // 64) * 64), np.uint8)
+    rows = np.arange(len(x))[:, None]
+    bits[rows, 0, near] = 1
+    bits[rows, 1, near] = cosine[rows, near] >= close
+    return near.astype(np.int32), np.packbits(bits.reshape(len(x), -1), axis=1, bitorder="little").view(np.uint64)
 
 
 def candidates(a: np.ndarray, b: np.ndarray, pivot: int, shared: int) -> np.ndarray:
-    """Which pairs share enough pivots, this one being the smallest."""
+    """Which pairs share enough pivots, or one close to both, this one being the smallest they share."""
     count = np.zeros((len(a), len(b)), np.uint8)
     low = np.zeros((len(a), len(b)), bool)
-    for w in range(a.shape[1]):
+    words = a.shape[1] // 2
+    for w in range(words):
         both = a[:, None, w] & b[None, :, w]
         count += np.bitwise_count(both)
         if w < pivot // 64:
             low |= both != 0
         elif w == pivot // 64:
             low |= (both & np.uint64((1 << pivot % 64) - 1)) != 0
-    return (count >= shared) & ~low
+    enough = count >= shared
+    for w in range(words, 2 * words):
+        enough |= (a[:, None, w] & b[None, :, w]) != 0
+    return enough & ~low
 
 
 def _links(nodes: DataFrame, width: int, threshold: float, pivots: int, prefix: int, shared: int) -> DataFrame:
     """nid, root, n: for each pair of tiles, what its members are linked with there, and with how many vectors."""
     spark = nodes.sparkSession
-    # A bounded sample of reference points: the vectors with the smallest hashes.
-    chosen = np.array([r.vec for r in nodes.orderBy(F.xxhash64("vec"), "nid").limit(pivots).collect()])
+    # A bounded sample of reference points, from the vectors with the smallest hashes.
+    drawn = np.array([r.vec for r in nodes.orderBy(F.xxhash64("vec"), "nid").limit(DRAWN * pivots).collect()])
+    chosen = spread(unit(drawn), pivots, threshold)
     shared = min(shared, len(chosen))
-    points = spark.sparkContext.broadcast(unit(chosen))
+    # A vector linked with one within the threshold of a pivot has at least this cosine to the pivot.
+    close = 2 * threshold * threshold - 1 if threshold > 0 else -1.0
+    points = spark.sparkContext.broadcast(chosen)
     vec = nodes.schema["vec"].dataType
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                near, bits = prefixes(unit(rows_of(batch.column(1), width)), points.value, prefix)
+                near, bits = prefixes(unit(rows_of(batch.column(1), width)), points.value, prefix, close)
                 wrap = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.from_numpy_dtype(x.dtype)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), wrap(near), wrap(bits.view(np.int64))], ["nid", "vec", "copies", "near", "bits"])
 
@@ -103,7 +138,7 @@ def _links(nodes: DataFrame, width: int, threshold: float, pivots: int, prefix:
         def read(col: pa.Array):
             flat = col.flatten()
             own = {k: flat.field(k) for k in ("nid", "copies")}
-            words = rows_of(flat.field("bits"), -(-len(points.value) // 64)).view(np.uint64)
+            words = rows_of(flat.field("bits"), 2 * -(-len(points.value) // 64)).view(np.uint64)
             return own["nid"].to_numpy(), own["copies"].to_numpy(), words, unit(rows_of(flat.field("vec"), width))
 
         for batch in batches:

@@ -68,3 +68,26 @@ def test_query(spark, tiny):
     near = brute(np.array([r.embedding for r in rows]))
     got = {r.vec_id: r for r in op1_pivots(spark, tiny).collect()}
     assert [got[r.vec_id].n_links for r in rows] == near.sum(1).tolist()
+
+
+def test_dense_group(spark):
+    """A third of the rows are near copies of one another."""
+    rng = np.random.default_rng(11)
+    centre, x = np.eye(64)[0], rng.normal(size=(1500, 64))
+    noise = rng.normal(size=(500, 64)) * (centre == 0)
+    c = rng.uniform(0.93, 0.96, (500, 1))
+    x[:500] = c * centre + np.sqrt(1 - c * c) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    near = brute(x)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in pivots.near_duplicates(df).collect()}
+    links = np.array([got[k].n_links for k in range(len(x))])
+    assert (links <= near.sum(1)).all()
+    assert links.sum() >= 0.99 * near.sum()
+
+
+def test_pivots_lie_apart():
+    rng = np.random.default_rng(12)
+    x = pivots.unit(np.concatenate((np.eye(64)[:1] + 0.02 * rng.normal(size=(300, 64)), rng.normal(size=(100, 64)))))
+    own = pivots.spread(x, 64, 0.9)
+    assert len(own) == 64 and (own @ own.T - np.eye(64)).max() < 0.9
+    assert len(pivots.spread(x[:300], 64, 0.9)) == 1
