@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -46,37 +48,99 @@ class Trained:
     history: list[tuple[int, float]]
 
 
-def train(vectors: DataFrame, n: int = 4, max_epochs: int = 2000, target: float = 0.001, seed: int = 1, vec: str = "vec", sample: int = 10_000, check_every: int = 100) -> Trained:
-    """Train on one pattern an epoch, drawn at random from at most ``sample`` vectors.
+#: Epochs whose patterns the driver holds at once, and whose checks share one pass over the vectors.
+STRETCH = 1000
+#: Groups of vectors for numbering the rows.
+GROUPS = 4096
+
+
+def _numbered(vectors: DataFrame, vec: str) -> DataFrame:
+    """_group, _from, _to, vec: distinct vectors, each standing for the rows _from to _to - 1 of its group.
+
+    Rows are numbered by the vectors' hashes, so that numbers don't depend on
+    how the table is split; equal vectors are one row here, however many.
+    """
+    own = vectors.groupBy(vec).agg(F.count(F.lit(1)).alias("_n")).withColumn("_hash", F.xxhash64(vec))
+    own = own.withColumn("_group", F.pmod("_hash", F.lit(GROUPS)))
+    up_to = F.sum("_n").over(Window.partitionBy("_group").orderBy("_hash", vec).rowsBetween(Window.unboundedPreceding, 0))
+    return own.withColumn("_to", up_to).select("_group", (F.col("_to") - F.col("_n")).alias("_from"), "_to", vec)
+
+
+def _mean_residuals(rows: DataFrame, states: list[np.ndarray], vec: str) -> list[float]:
+    """For each of some maps, the sum of all rows' residuals to their winners over the number of components."""
+    maps = rows.sparkSession.sparkContext.broadcast([w.reshape(-1, w.shape[2]) for w in states])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, size = np.zeros(len(maps.value)), 0
+        for batch in batches:
+            each = max(1, (1 << 20) // maps.value[0].size)
+            for at in range(0, batch.num_rows, each):
+                part = batch.slice(at, each)
+                n = part.column(1).to_numpy()
+                x = part.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(n), -1)
+                size += int(n.sum()) * x.shape[1]
+                for k, flat in enumerate(maps.value):
+                    win = np.abs(x[:, None, :] - flat).sum(axis=2).argmin(axis=1)
+                    total[k] += np.sqrt(((x - flat[win]) ** 2).sum(axis=1)) @ n
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total), pa.array([size] * len(total), pa.int64())], ["k", "total", "size"])
+
+    parts = rows.select(vec, (F.col("_to") - F.col("_from")).alias("n")).mapInArrow(add, "k int, total double, size long")
+    found = {r.k: r.error for r in parts.groupBy("k").agg((F.sum("total") / F.sum("size")).alias("error")).collect()}
+    maps.unpersist()
+    return [found[k] for k in range(len(states))]
+
+
+def train(vectors: DataFrame, n: int = 4, max_epochs: int = 10_000, target: float = 0.001, seed: int = 1, vec: str = "vec", check_every: int = 100) -> Trained:
+    """Train on one pattern an epoch, drawn at random from all vectors.
 
     The rate falls from 1 to 0.1 over 10,000 epochs and the neighbourhood from
-    4 to 0.5 over 3,500.  Vectors are z-normalised first; constant ones are
-    left out.  The sample (the rows with the smallest hashes) bounds what the
-    driver holds; training is sequential by nature.
+    4 to 0.5 over 3,500.  Vectors are z-normalised first; constant ones, null
+    ones and those with null or non-finite components are left out.  Training
+    is sequential by nature, so it runs on the driver: that holds the patterns
+    of a stretch of epochs, which are drawn by row number and fetched.  The
+    error that ends it is over all vectors: the maps to check in a stretch are
+    kept and judged in one distributed pass, and where one reaches the target,
+    it is the result.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(vec).where(F.col(vec).isNotNull()).orderBy(F.xxhash64(vec)).limit(sample).collect()
-    x = np.array([r[0] for r in rows], float)
-    if not len(x):
+    known = vectors.select(vec).where(F.col(vec).isNotNull())
+    first = known.first()
+    if first is None:
         return Trained(initial_weights(spark, n, 0, seed), [])
-    sd = x.std(axis=1, ddof=1)
-    x = (x[sd > 0] - x[sd > 0].mean(axis=1, keepdims=True)) / sd[sd > 0][:, None]
+    good = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = _numbered(normalise(known.where(good), vec), vec).persist()
+    groups = rows.groupBy("_group").agg(F.max("_to").alias("n")).orderBy("_group").collect()
+    ends = np.cumsum([r.n for r in groups], dtype=np.int64)
     rng = np.random.default_rng(seed)
-    w = rng.uniform(-1, 1, (n, n, x.shape[1]))
+    w = rng.uniform(-1, 1, (n, n, len(first[0])))
     yy, xx = np.mgrid[:n, :n]
-    history = []
-    for epoch in range(max_epochs if len(x) else 0):
-        rate, near = max(1 - (epoch + 1) / 10_000, 0.1), max(4 - (epoch + 1) / 1000, 0.5)
-        p = x[rng.integers(len(x))]
-        d = np.abs(w - p).sum(axis=2)
-        wy, wx = np.unravel_index(d.argmin(), d.shape)
-        w += np.where(np.hypot(yy - wy, xx - wx) <= near, rate, 0.0)[:, :, None] * (p - w)
-        if epoch % check_every == 0:
-            flat = w.reshape(n * n, -1)
-            win = flat[np.array([np.abs(flat - v).sum(axis=1).argmin() for v in x])]
-            history.append((epoch, float(np.sqrt(((x - win) ** 2).sum(axis=1)).sum() / x.size)))
-            if history[-1][1] <= target:
+    history: list[tuple[int, float]] = []
+    for start in range(0, max_epochs if len(ends) else 0, STRETCH):
+        epochs = range(start, min(start + STRETCH, max_epochs))
+        drawn = rng.integers(ends[-1], size=len(epochs))
+        at = np.searchsorted(ends, drawn, side="right")
+        place = drawn - np.where(at > 0, ends[at - 1], 0)
+        wanted = spark.createDataFrame([(int(groups[g]._group), int(r), e) for g, r, e in zip(at, place, epochs, strict=True)], "_own long, _row long, _epoch int")
+        met = (F.col("_group") == F.col("_own")) & (F.col("_row") >= F.col("_from")) & (F.col("_row") < F.col("_to"))
+        patterns = {r._epoch: np.array(r[1]) for r in rows.join(F.broadcast(wanted), met).select("_epoch", vec).collect()}
+        kept = []
+        for epoch in epochs:
+            rate, near = max(1 - (epoch + 1) / 10_000, 0.1), max(4 - (epoch + 1) / 1000, 0.5)
+            p = patterns[epoch]
+            d = np.abs(w - p).sum(axis=2)
+            wy, wx = np.unravel_index(d.argmin(), d.shape)
+            w += np.where(np.hypot(yy - wy, xx - wx) <= near, rate, 0.0)[:, :, None] * (p - w)
+            if epoch % check_every == 0:
+                kept.append((epoch, w.copy()))
+        if kept:
+            found = _mean_residuals(rows, [x for _, x in kept], vec)
+            done = next((k for k, error in enumerate(found) if error <= target), None)
+            history += [(epoch, error) for (epoch, _), error in zip(kept, found, strict=True)][: None if done is None else done + 1]
+            if done is not None:
+                w = kept[done][1]
                 break
+    rows.unpersist()
     frame = spark.createDataFrame([(y, k, w[y, k].tolist()) for y in range(n) for k in range(n)], "y int, x int, weights array<double>")
     return Trained(frame, history)
 

@@ -207,6 +207,28 @@ def test_som(spark):
     assert len(som.area_map(done.weights, frame(spark, [("a", 0), ("b", 5)], "area string, position int")).columns) == 10
 
 
+def test_som_draws_from_all_vectors(spark):
+    """More than 10,000 rows: the error is over all of them, and so are the row numbers."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(12_000, 6)) + 4 * np.eye(6)[rng.integers(0, 3, 12_000)]
+    df = frame(spark, [(k, v.tolist()) for k, v in enumerate(x)], "id int, vec array<double>")
+    done = som.train(df, n=2, max_epochs=101, seed=2)
+    z = (x - x.mean(1, keepdims=True)) / x.std(1, ddof=1, keepdims=True)
+    w = np.array([r.weights for r in done.weights.orderBy("y", "x").collect()])
+    win = w[np.abs(z[:, None] - w).sum(2).argmin(1)]
+    assert [e for e, _ in done.history] == [0, 100]
+    assert abs(done.history[-1][1] - np.sqrt(((z - win) ** 2).sum(1)).sum() / z.size) < 1e-9
+    rows = som._numbered(som.normalise(df.union(df.where("id < 3"))).select("vec"), "vec").collect()
+    assert sum(r._to - r._from for r in rows) == 12_003 and len(rows) == 12_000
+
+
+def test_som_ends_at_the_target(spark):
+    df = frame(spark, [(k, [float(k % 2), 1.0, 2.0]) for k in range(2)], "id int, vec array<double>")
+    own = som.train(df, n=2, max_epochs=600, seed=1, check_every=10)
+    far = som.train(df, n=2, max_epochs=600, seed=1, check_every=10, target=max(e for _, e in own.history))
+    assert far.history == own.history[: len(far.history)] and len(far.history) < len(own.history)
+
+
 def test_postprocess(spark):
     p = frame(spark, [(1, 0, 1), (2, 1, 0), (3, 0, 1), (4, 2, 2)], "n int, a int, b int")
     assert sorted(r.n for r in postprocess.dedupe_pairs(p, ["a"], ["b"], ["n"]).collect()) == [1, 4]
