@@ -248,13 +248,13 @@ def som_classify(spark, sf_dir):
 
 @query()
 def som_train(spark, sf_dir):
-    return som.train(vectors(spark, sf_dir), n=4, max_epochs=400).weights.select("y", "x", F.posexplode("weights").alias("j", "w"))
+    return som.train(vectors(spark, sf_dir), n=4).weights.select("y", "x", F.posexplode("weights").alias("j", "w"))
 
 
 @query()
 def som_errors(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    return som.errors(som.normalise(rows), som.train(rows, n=4, max_epochs=400).weights)
+    return som.errors(som.normalise(rows), som.train(rows, n=4).weights)
 
 
 PAIRS = "p AS (SELECT l_partkey % 50 AS a, l_suppkey % 50 AS b, l_discount - 0.05 AS v, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem)"

@@ -229,6 +229,17 @@ def test_som_ends_at_the_target(spark):
     assert far.history == own.history[: len(far.history)] and len(far.history) < len(own.history)
 
 
+def test_som_queries_train_the_full_schedule(spark, tiny, monkeypatch):
+    from lodestrata.plans import numeric
+
+    asked = []
+    train = som.train
+    monkeypatch.setattr(som, "train", lambda *a, **k: asked.append(train(*a, **k)) or asked[-1])
+    numeric.som_train(spark, tiny)
+    numeric.som_errors(spark, tiny)
+    assert [own.history[-1][0] for own in asked] == [9900, 9900]
+
+
 def test_postprocess(spark):
     p = frame(spark, [(1, 0, 1), (2, 1, 0), (3, 0, 1), (4, 2, 2)], "n int, a int, b int")
     assert sorted(r.n for r in postprocess.dedupe_pairs(p, ["a"], ["b"], ["n"]).collect()) == [1, 4]
