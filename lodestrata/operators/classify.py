@@ -106,18 +106,25 @@ def legend(breaks: DataFrame) -> DataFrame:
     return each.select("position", text.alias("legend"))
 
 
-def natural_breaks(values: np.ndarray, counts: np.ndarray, classes: int) -> list[float]:
+def natural_breaks(values: np.ndarray, counts: np.ndarray, classes: int, most: int = 1 << 20) -> list[float]:
     """Upper bounds of the classes with the least squared distance to their means, for sorted distinct values.
 
     Exact: best[k][j] = min over i of best[k-1][i] + cost(i, j), the minimising
-    i not falling as j grows, so each row is filled by halving.
+    i not falling as j grows, so each row is filled by halving.  The middles
+    of one depth are filled together, about ``most`` candidates at a time.
     """
     n = len(values)
     classes = min(classes, n)
-    w = np.concatenate(([0.0], np.cumsum(counts, dtype=float)))
-    shift = values.mean() if n else 0.0
-    s = np.concatenate(([0.0], np.cumsum(counts * (values - shift))))
-    q = np.concatenate(([0.0], np.cumsum(counts * (values - shift) ** 2)))
+    if not n:
+        return []
+    # Sums run outwards from the median, so that extreme values leave the digits of all others alone.
+    mid = n // 2
+    v = values - values[mid]
+
+    def sums(x):
+        return np.concatenate((-np.cumsum(x[:mid][::-1])[::-1], [0.0], np.cumsum(x[mid:])))
+
+    w, s, q = sums(counts.astype(float)), sums(counts * v), sums(counts * v * v)
 
     def cost(i, j):
         d = w[j] - w[i]
@@ -126,17 +133,27 @@ def natural_breaks(values: np.ndarray, counts: np.ndarray, classes: int) -> list
     best = cost(np.zeros(n + 1, int), np.arange(n + 1))
     cut = []
     for k in range(1, classes):
-        now, at = np.full(n + 1, math.inf), np.zeros(n + 1, int)
-        work = [(k + 1, n, k, n - 1)]
-        while work:
-            lo, hi, left, right = work.pop()
-            if lo > hi:
-                continue
-            mid = (lo + hi) // 2
-            i = np.arange(left, min(right, mid - 1) + 1)
-            c = best[i] + cost(i, np.full(len(i), mid))
-            at[mid], now[mid] = i[c.argmin()], c.min()
-            work += [(lo, mid - 1, left, at[mid]), (mid + 1, hi, at[mid], right)]
+        now, at = np.full(n + 1, math.inf), np.zeros(n + 1, np.int64)
+        work = np.array([[k + 1, n, k, n - 1]])
+        while len(work):
+            lo, hi, left, right = work.T
+            middle = (lo + hi) // 2
+            size = np.minimum(right, middle - 1) - left + 1
+            ends = np.cumsum(size)
+            first = 0
+            while first < len(work):
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, side="right")))
+                m, z = middle[first:last], size[first:last]
+                starts = np.concatenate(([0], np.cumsum(z)[:-1]))
+                i = np.arange(z.sum()) - np.repeat(starts - left[first:last], z)
+                c = best[i] + cost(i, np.repeat(m, z))
+                least = np.minimum.reduceat(c, starts)
+                hits = np.flatnonzero(c == np.repeat(least, z))
+                at[m], now[m] = i[hits[np.searchsorted(hits, starts)]], least
+                first = last
+            halves = np.concatenate((np.stack((lo, middle - 1, left, at[middle]), axis=1), np.stack((middle + 1, hi, at[middle], right), axis=1)))
+            work = halves[halves[:, 0] <= halves[:, 1]]
+            work = work[np.argsort(work[:, 0])]
         best = now
         cut.append(at)
     ends, j = [n], n
@@ -146,30 +163,26 @@ def natural_breaks(values: np.ndarray, counts: np.ndarray, classes: int) -> list
     return [float(values[e - 1]) for e in reversed(ends) if e]
 
 
-def jenks_breaks(df: DataFrame, value: str, classes: int = 5, most: int = 50_000) -> DataFrame:
-    """position (from 0) and upper bound of each natural class.
+def jenks_breaks(df: DataFrame, value: str, classes: int = 5, most: int = 1 << 20) -> DataFrame:
+    """position (from 0) and upper bound of each natural class, exact at every size.
 
-    Values are first counted by Spark.  Up to ``most`` distinct values the
-    breaks are exact; beyond, values are pooled into that many equal ranges
-    (each standing at its mean), so what reaches the one task has a fixed
-    bound.
+    Values are first counted by Spark, so that equal ones are one row.  The
+    distinct values meet in one task, as each break depends on all of them:
+    some 250 bytes each there.  ``most`` bounds what that task works on beside
+    them at once; it doesn't change the result.
     """
     v = F.col(value).cast("double")
     rows = df.select(v.alias("v")).where("v is not null").where(~F.isnan("v"))
     counts = rows.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    ends = counts.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("distinct"))
-    slot = F.when(F.col("distinct") <= most, F.struct(F.lit(0).cast("long").alias("a"), F.col("v").alias("b"))).otherwise(F.struct(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * (most - 1)).alias("a"), F.lit(0.0).alias("b")))
-    pooled = counts.crossJoin(F.broadcast(ends)).groupBy(slot.alias("slot")).agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v"), F.max("v").alias("top"), F.sum("n").alias("n"))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b for b in batches if len(b)]
         if parts:
             own = pd.concat(parts).sort_values("v", ignore_index=True)
-            bounds = natural_breaks(own.v.to_numpy(), own.n.to_numpy(), classes)
-            top = dict(zip(own.v, own.top, strict=True))
-            yield pd.DataFrame({"position": range(len(bounds)), "upper": [top[b] for b in bounds]})
+            bounds = natural_breaks(own.v.to_numpy(), own.n.to_numpy(), classes, most)
+            yield pd.DataFrame({"position": range(len(bounds)), "upper": bounds})
 
-    return pooled.select("v", "top", "n").coalesce(1).mapInPandas(solve, "position int, upper double")
+    return counts.repartition(1).mapInPandas(solve, "position int, upper double")
 
 
 def style(df: DataFrame, value: str, sequential: str = "YlGn", discrete: str = "Set3", classes: int = 5) -> DataFrame:

@@ -167,6 +167,21 @@ def test_jenks_edges(spark):
     assert [r.upper for r in many] == [499.0, 1499.0, 2499.0]
 
 
+def test_jenks_is_exact_at_every_size(spark):
+    """Five natural classes, more distinct values than 50,000, and one extreme value."""
+    rng = np.random.default_rng(9)
+    v = np.concatenate([1000 * k + rng.uniform(0, 100, 15_000) for k in range(4)] + [[1e9]])
+    got = [r.upper for r in classify.jenks_breaks(frame(spark, [(float(x),) for x in v], "v double"), "v", 5).orderBy("position").collect()]
+    assert got == [v[:15_000].max(), v[15_000:30_000].max(), v[30_000:45_000].max(), v[45_000:60_000].max(), 1e9]
+
+
+def test_jenks_blocks_change_nothing():
+    rng = np.random.default_rng(10)
+    v, n = np.unique(np.round(rng.normal(size=3000) ** 3, 2), return_counts=True)
+    want = classify.natural_breaks(v, n, 6)
+    assert [classify.natural_breaks(v, n, 6, most=m) for m in (1, 50, 4000)] == [want] * 3
+
+
 def test_colours():
     assert [len(own) for _, own in classify.GROUPS] == [18, 9, 8]
     assert classify.colours("YlGn", 3) == [(255, 255, 229), (120, 198, 121), (0, 69, 41)]
