@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -103,6 +104,18 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set(name, "1000")
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Python gets so many rows at once while this holds."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def veiled(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """df with its columns under names no operator uses, and the new name of each."""
     names = {c: f"column_{k}" for k, c in enumerate(df.columns)}

@@ -15,15 +15,14 @@ its members' places as it does for any vector.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from .base import release, store
+from .base import batches_of, release, store
 from .components import connected_components
 from .simhash import forest
 
@@ -37,18 +36,6 @@ DRAWN = 16
 APART = (0.4, 0.5, 0.6, 0.7, 0.8)
 
 
-@contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Python gets so many rows at once while this holds."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def unit(vectors: np.ndarray) -> np.ndarray:
     """Rows of length one, in double precision; scaled first, so that no square overflows or vanishes."""
     x = vectors.astype(np.float64)

@@ -12,13 +12,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import release, slices, store, tune
+from .base import batches_of, release, slices, store, tune
 from .components import connected_components
 
 SEED = 42
 LANES, LANE_BITS = 4, 16
-#: Fingerprints in a tile, about.
-TILE = 256
+#: Fingerprints in a tile, about; and where the radius is wide.
+TILE, WIDE = 256, 1024
 #: Bytes of a text that are split into words at once.
 PIECE = 1 << 22
 _space = re.compile(rb"[\x20\x09-\x0D]")
@@ -48,20 +48,32 @@ def hashed(text: str | None, words: int) -> Iterator[list[int]]:
         carry, at = own[-(words - 1) :] if words > 1 else [], end
 
 
+class Bits:
+    """How often each bit is set in some hashes."""
+
+    def __init__(self):
+        self.ones, self.n = np.zeros(64, np.int64), 0
+
+    def add(self, hashes: np.ndarray) -> None:
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        self.ones += bits.sum(axis=0, dtype=np.int64)
+        self.n += len(hashes)
+
+    def fingerprint(self) -> int:
+        """The bits set in over half the hashes; zero if there are none."""
+        return int(np.packbits(2 * self.ones > self.n, bitorder="little").view(np.uint64)[0]) if self.n else 0
+
+
 def fingerprint(text: str | None, words: int = 3) -> int:
     """The 64-bit SimHash of a text: a bit is 1 if set in over half the shingle hashes.
 
     Shingles are runs of so many words, repeats included; a text with fewer
     words is one shingle, and a text without words has fingerprint zero.
     """
-    ones, n = np.zeros(64, np.int64), 0
+    bits = Bits()
     for hashes in hashed(text, words):
-        bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-        n += len(hashes)
-    if not n:
-        return 0
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+        bits.add(np.array(hashes, np.uint64))
+    return bits.fingerprint()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -155,6 +167,63 @@ def link(fps: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.mapInArrow(compare, "u long, v long")
 
 
+def link_sized(nodes: DataFrame, radius: int, ratio: float) -> DataFrame:
+    """Edges u, v that connect all nodes whose fingerprints lie within a wide radius and whose sizes within a ratio.
+
+    nodes: node (long, distinct), fp and n (a size).  Tiles hold fingerprints
+    of one class of sizes, a factor of 1 / ratio wide, and of four neighbouring
+    population counts.  Only tiles of the same or the next class of sizes, and
+    whose counts can differ by no more than the radius, meet; all others are
+    skipped.  Every member of a pair of tiles is compared by exclusive-or and
+    bit count; the pair returns a spanning forest.
+    """
+    group = 4
+    size = F.when(F.col("n") > 0, F.floor(F.log("n") / F.log(F.lit(1 / ratio)) + 1e-9)).otherwise(-9).cast("int")
+    cells = nodes.select("node", "fp", "n", size.alias("size"), F.floor(F.bit_count("fp") / group).cast("int").alias("ones"))
+    # 17 counts for each class of sizes, of which there are 196 at most for a ratio of 0.8.
+    counted = cells.groupBy("size", "ones").agg(F.ceil(F.count(F.lit(1)) / WIDE).cast("int").alias("chunks"))
+    tiles = store(
+        cells.join(F.broadcast(counted), ["size", "ones"]).groupBy("size", "ones", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk")).agg(F.collect_list(F.struct("node", "fp", "n")).alias("own")),
+        "simhash-tiles",
+    )
+    steps = [(s, o) for s in (0, 1) for o in range(-17, 18) if (abs(o) - 1) * group + 1 <= radius and (s, o) >= (0, 0)]
+    moves = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(o).alias("o")) for s, o in steps])
+    meets = counted.select("size", "ones", F.explode(moves).alias("d"), F.col("chunks").alias("n1")).selectExpr("size", "ones", "size + d.s as size2", "ones + d.o as ones2", "n1")
+    meets = meets.join(F.broadcast(counted.selectExpr("size as size2", "ones as ones2", "chunks as n2")), ["size2", "ones2"])
+    meets = meets.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n1") - 1))).withColumn("chunk2", F.explode(F.sequence(F.lit(0), F.col("n2") - 1)))
+    meets = meets.where("size <> size2 or ones <> ones2 or chunk <= chunk2").select("size", "ones", "chunk", "size2", "ones2", "chunk2")
+    right = tiles.selectExpr("size as size2", "ones as ones2", "chunk as chunk2", "own as theirs")
+    pairs = meets.join(tiles, ["size", "ones", "chunk"]).join(right, ["size2", "ones2", "chunk2"])
+    pairs = pairs.select(F.expr("size = size2 and ones = ones2 and chunk = chunk2").alias("same"), "own", "theirs")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read(col: pa.Array):
+            flat = col.flatten()
+            return flat.field("node").to_numpy(), flat.field("fp").to_numpy().view(np.uint64), flat.field("n").to_numpy()
+
+        for batch in batches:
+            for k, same in enumerate(batch.column(0).to_pylist()):
+                node, fp, n = read(batch.column(1).slice(k, 1))
+                node2, fp2, n2 = read(batch.column(2).slice(k, 1))
+                near = np.empty((len(fp), len(fp2)), bool)
+                for at in range(0, len(fp), TILE):
+                    near[at : at + TILE] = np.bitwise_count(fp[at : at + TILE, None] ^ fp2[None, :]) <= radius
+                if same:
+                    np.fill_diagonal(near, False)
+                r, c = np.nonzero(near)
+                near[r, c] = np.minimum(n[r], n2[c]) >= ratio * np.maximum(n[r], n2[c]) - 1e-9
+                r, c = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+                if len(r):
+                    ids, label = np.concatenate((node[r], node2[c])), np.concatenate(forest(near[np.ix_(r, c)]))
+                    moved = label != np.arange(len(ids))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], ["u", "v"])
+
+    with batches_of(nodes.sparkSession, 4):
+        found = store(pairs.mapInArrow(compare, "u long, v long"), "simhash-links")
+    release(tiles)
+    return found
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
     """id, fingerprint (16 hex digits) and component_id of every row.
 

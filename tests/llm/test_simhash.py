@@ -8,11 +8,11 @@ from lodestrata.llm import simhash
 from lodestrata.llm.components import connected_components
 
 
-def plain(text):
+def plain(text, n=3):
     words = simhash._space.sub(b" ", (text or "").encode().lower()).split()
     if not words:
         return 0
-    grams = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    grams = [b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))]
     hs = [xxhash.xxh64_intdigest(g, 42) for g in grams]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 

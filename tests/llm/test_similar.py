@@ -1,9 +1,9 @@
 import random
 
 import corpus_pipeline as cp
-from lodestrata.llm import shingles
+from lodestrata.llm import simhash, similar
 
-from .test_simhash import roots
+from .test_simhash import plain, roots
 
 
 def sets(text, words=5):
@@ -11,9 +11,9 @@ def sets(text, words=5):
     return {tuple(own[k : k + words]) for k in range(max(len(own) - words + 1, 1))} if own else set()
 
 
-def brute(texts, least=0.8):
-    s = [sets(t or "") for t in texts]
-    near = [(a, b) for a in range(len(s)) for b in range(a) if (not s[a] and not s[b]) or (s[a] or s[b]) and len(s[a] & s[b]) >= least * len(s[a] | s[b])]
+def brute(texts, least=0.8, radius=14):
+    s, fp = [sets(t or "") for t in texts], [plain(t, 5) for t in texts]
+    near = [(a, b) for a in range(len(s)) for b in range(a) if (not s[a] and not s[b]) or (s[a] or s[b]) and len(s[a] & s[b]) >= least * len(s[a] | s[b]) and (fp[a] ^ fp[b]).bit_count() <= radius]
     return roots(len(s), near)
 
 
@@ -31,10 +31,11 @@ def made(n=120):
 
 
 def test_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(shingles, "TILE", 9)
+    monkeypatch.setattr(similar, "TILE", 9)
+    monkeypatch.setattr(simhash, "WIDE", 7)
     texts = made()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in shingles.near_duplicates(df).collect()}
+    got = {r.doc_id: r.component_id for r in similar.near_copies(df).collect()}
     want = brute(texts)
     assert [got[k] for k in range(len(texts))] == want
     assert len(set(want)) > 15
