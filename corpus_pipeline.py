@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontaminate, language, lines, pieces, shingles
-from lodestrata.llm.base import beside, read, store, unveiled, veiled
+from lodestrata.llm import decontaminate, language, lines, pieces, similar
+from lodestrata.llm.base import beside, read, release, store, unveiled, veiled
 from lodestrata.llm.queries import VOCABULARY
 
 #: No SQL: naive Bayes, near copies and the piece vocabulary have none in DuckDB.
@@ -20,10 +20,12 @@ ORACLE_SQL: str | None = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language: null texts, texts without letters, and
-    those whose likeliest language has a posterior below one half."""
+    those whose likeliest language has a posterior below one half.  lang becomes
+    the predicted language of those that stay."""
     model = language.train(docs.where(~language.held_out()).select("lang", "text"))
     plain, names = veiled(docs)
-    return unveiled(language.identify(plain, model, names["text"]).where("lang_pred <> 'und' and score >= 0.5"), names)
+    found = language.identify(plain, model, names["text"]).where("lang_pred <> 'und' and score >= 0.5")
+    return unveiled(found.withColumn(names["lang"], F.col("lang_pred").cast(docs.schema["lang"].dataType)), names)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,20 +44,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each component of texts whose
-    5-word shingles have a Jaccard similarity of 0.8 or more; of rows with equal
-    id and text one stays.  Different texts with one id stay if one
+    """Keep the document with the smallest id of each component of near copies.
+
+    Near copies have SimHash fingerprints (of 5-word shingles) within 14 of 64
+    bits and a Jaccard similarity of their shingles of 0.8 or more.  Of rows
+    with equal id and text one stays.  Different texts with one id stay if one
     of them does, and documents without id stay, equal texts once."""
-    named = shingles.near_duplicates(docs.select("doc_id", "text"), words=5, least=0.8)
-    named = store(named.groupBy("doc_id").agg(F.max("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "near-named")
-    gone = named.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
-    kept = docs.join(beside(gone), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    repeated = named.where("n > 1").select(F.col("doc_id").alias("_id"))
-    if repeated.isEmpty():
-        return kept
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    once = kept.join(beside(repeated), same, "left_anti")
-    return once.union(kept.join(beside(repeated), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    plain, names = veiled(docs)
+    doc_id, text = names["doc_id"], names["text"]
+    named = similar.near_copies(plain, doc_id, text, words=5, radius=14, least=0.8)
+    named = store(named.groupBy(F.col(doc_id).alias("id")).agg(F.max("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "near-named")
+    same = F.col(doc_id).eqNullSafe(F.col("id"))
+    kept = plain.join(beside(named.where("id <> component_id").select("id")), same, "left_anti")
+    repeated = named.where("n > 1").select("id")
+    if not repeated.isEmpty():
+        once = kept.join(beside(repeated), same, "left_anti")
+        kept = once.union(kept.join(beside(repeated), same, "left_semi").dropDuplicates([doc_id, text]))
+    return unveiled(kept, names)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,6 +85,10 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
     docs = read(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = store(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            release(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -133,8 +133,9 @@ def test_streaming_windows(spark, tmp_path):
     assert spark.table("means").agg(F.sum("n")).first()[0] == 40
 
 
-def test_entry_without_llm(tmp_path):
-    """The entry module works where the llm folders and the pipeline are deleted."""
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_entry_without_llm(tmp_path, pipeline):
+    """The entry module works where the llm folders are deleted, with and without the pipeline."""
     import os
     import shutil
     import subprocess
@@ -142,6 +143,8 @@ def test_entry_without_llm(tmp_path):
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     shutil.copytree(os.path.join(root, "lodestrata"), tmp_path / "lodestrata", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    for name in ["__spark_entry__.py", *["corpus_pipeline.py"] * pipeline]:
+        if os.path.exists(os.path.join(root, name)):
+            shutil.copy(os.path.join(root, name), tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); o = e.oracle_sql(); assert 'moran_all_pairs' in q and 'pipeline' not in q and not any(k.startswith('op1') for k in q); assert set(o) <= set(q)"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
