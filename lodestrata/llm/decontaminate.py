@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-from .base import slices, tune, unveiled, veiled
+from .base import beside, slices, store, tune, unveiled, veiled
 
 #: Words of a window; an item with fewer words is one window.
 WINDOW = 8
-#: Benchmark text in one broadcast set at most; a larger benchmark is dealt over several sets, one pass each.
+#: Benchmark text in one broadcast set; a larger benchmark is dealt over several sets, one job each.
 SET_BYTES = 32 << 20
 PIECE = 1 << 20
 RUNS = ArrayType(StructType().add("a", "long").add("b", "long"))
@@ -173,49 +173,79 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
     """docs with n_words, hit_runs (hit words, end exclusive) and hit_items (sorted as strings).
 
     Null texts have no words.  Items without id, text or words count for
-    nothing; rows of one item_id with several texts are one item.  The size of
-    the benchmark is checked: beyond ``set_bytes`` its items are dealt over
-    several broadcast sets and every document meets each of them in turn, one
-    set in memory at a time for each pass.
+    nothing; rows of one item_id with several texts are one item.  Texts are
+    scanned whole; repeated rows stay; columns named like the three are
+    replaced, all others are kept.
+
+    The size of the benchmark is checked.  Beyond ``set_bytes`` its items are
+    dealt over several broadcast sets, one job each: a job writes what it
+    found, by the text's digest and for texts with hits alone, and lets its
+    set go before the next is made.  So neither driver nor executors hold more
+    than one set, which has as many bytes of text and some more items at most.
     """
     tune(docs.sparkSession)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col if text_col in benchmark.columns else "text").cast("string").alias("text")).where("item is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     sets = max(1, -(-total // set_bytes))
-    out = docs.drop("n_words", "hit_runs", "hit_items")
-    at = out.columns.index(text_col)
-    width = len(out.columns)
-    pair = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+    out, own = veiled(docs.drop("n_words", "hit_runs", "hit_items"))
+    text = own[text_col]
+    names = own | {c: c for c in ("n_words", "hit_runs", "hit_items")}
+    if sets == 1:
+        return unveiled(_scan(out, text, _shared(items, window)), names)
+    digest = lambda: F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)).alias("digest")
+    parts = None
     for part in range(sets):
-        own = items if sets == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(sets)) == part)
-        shared = docs.sparkSession.sparkContext.broadcast(Windows([(r.item, r.text) for r in own.collect()], window))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, part=part) -> Iterator[pa.RecordBatch]:
-            table = shared.value
-            for batch in slices(batches):
-                found = table.find(batch.column(at).to_pylist())
-                runs = [x[1] for x in found]
-                ids = [sorted(table.ids[i] for i in x[2]) for x in found]
-                if part:
-                    runs = [merged([*((r["a"], r["b"]) for r in old), *new]) for old, new in zip(batch.column(width + 1).to_pylist(), runs, strict=True)]
-                    ids = [sorted({*old, *new}) for old, new in zip(batch.column(width + 2).to_pylist(), ids, strict=True)]
-                cols = [pa.array([x[0] for x in found], pa.int64()), pa.array([[{"a": a, "b": b} for a, b in r] for r in runs], pair), pa.array(ids, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:width], *cols], [*batch.schema.names[:width], "n_words", "hit_runs", "hit_items"])
-
-        schema = StructType(list(out.schema.fields)) if part else StructType(list(out.schema.fields)).add("n_words", "long").add("hit_runs", RUNS).add("hit_items", ArrayType(StringType()))
-        out = out.mapInArrow(run, schema)
-    return out
+        shared = _shared(items.where(F.pmod(F.xxhash64("item"), F.lit(sets)) == part), window)
+        found = _scan(out.select(text), text, shared).where(F.size("hit_items") > 0)
+        found = store(found.select(digest(), F.lit(part).alias("part"), "hit_runs", "hit_items").dropDuplicates(["digest", "part"]), "hit-parts")
+        shared.unpersist(blocking=True)
+        parts = found if parts is None else parts.union(found)
+    # A row for each set at most meets for a text.
+    merged_parts = parts.groupBy("digest").agg(F.array_sort(F.flatten(F.collect_list("hit_runs"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("hit_items"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = [[{"a": a, "b": b} for a, b in merged([(r["a"], r["b"]) for r in own])] for own in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, PAIR), batch.column(2)], ["digest", "hit_runs", "hit_items"])
+
+    hits = store(merged_parts.mapInArrow(merge, StructType().add("digest", "binary").add("hit_runs", RUNS).add("hit_items", ArrayType(StringType()))), "hits")
+    counted = _scan(out, text, None).drop("hit_runs", "hit_items").withColumn("own_digest", digest())
+    joined = counted.join(beside(hits), F.col("own_digest") == F.col("digest"), "left")
+    joined = joined.withColumn("hit_runs", F.coalesce("hit_runs", F.array().cast(RUNS))).withColumn("hit_items", F.coalesce("hit_items", F.array().cast("array<string>")))
+    return unveiled(joined, names)
+
+
+PAIR = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def _shared(items: DataFrame, window: int):
+    return items.sparkSession.sparkContext.broadcast(Windows([(r.item, r.text) for r in items.collect()], window))
+
+
+def _scan(docs: DataFrame, text_col: str, shared) -> DataFrame:
+    """docs with n_words, and the hit_runs and hit_items of one set (None: an empty one)."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value if shared is not None else Windows([])
+        for batch in slices(batches):
+            found = table.find(batch.column(at).to_pylist())
+            ids = [sorted(table.ids[i] for i in x[2]) for x in found]
+            cols = [pa.array([x[0] for x in found], pa.int64()), pa.array([[{"a": a, "b": b} for a, b in x[1]] for x in found], PAIR), pa.array(ids, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "n_words", "hit_runs", "hit_items"])
+
+    return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add("n_words", "long").add("hit_runs", RUNS).add("hit_items", ArrayType(StringType())))
 
 
 def summary(hits: DataFrame, least_items: int = 2) -> DataFrame:
-    """find_hits() with n_hit, n_items, items_sha256 and contaminated in place of runs and items."""
-    return hits.select(
-        *[F.col(c) for c in hits.columns if c not in ("hit_runs", "hit_items")],
-        F.aggregate("hit_runs", F.lit(0).cast("long"), lambda n, r: n + r["b"] - r["a"]).alias("n_hit"),
-        F.size("hit_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
-        (F.size("hit_items") >= least_items).alias("contaminated"),
-    )
+    """find_hits() with n_hit, n_items, items_sha256 and contaminated in place of runs and items; columns of their names are replaced."""
+    added = {
+        "n_hit": F.aggregate("hit_runs", F.lit(0).cast("long"), lambda n, r: n + r["b"] - r["a"]),
+        "n_items": F.size("hit_items").cast("long"),
+        "items_sha256": F.sha2(F.array_join("hit_items", ","), 256),
+        "contaminated": F.size("hit_items") >= least_items,
+    }
+    return hits.select(*[F.col(f"`{c}`") for c in hits.columns if c not in ("hit_runs", "hit_items", *added)], *[c.alias(name) for name, c in added.items()])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", least_items: int = 1, spans: bool = False) -> DataFrame:

@@ -14,8 +14,8 @@ from .base import slices, tune
 
 ORDERS = (1, 2, 3)
 BITS = 16
-#: Entries of the broadcast matrix at most (float32: 64 MB); with more languages n-grams share buckets.
-MOST = 1 << 24
+#: Languages at most, a parameter of train(): the broadcast matrix has 2^16 float32 for each (64 MB for 256).
+MOST = 256
 #: Code points in one numpy slice.
 SLICE = 1 << 20
 UND = "und"
@@ -34,25 +34,38 @@ def grams(text: str) -> np.ndarray:
     """The buckets of all n-grams of a text.
 
     Letters are lower-cased and every run of other characters counts as one
-    space, so digits, punctuation and markup say nothing.
+    space, so digits, punctuation and markup say nothing.  The text begins and
+    ends with a space.  Long texts go through numpy in slices: the last
+    characters of one are carried on to the next, so the n-grams are those of
+    the whole text.
     """
     found = []
-    for at in range(0, len(text), SLICE):
-        raw = text[max(0, at - 2) : at + SLICE].lower().encode("utf-32-le", "surrogatepass")
+    last = np.full(1, 32, np.uint64)
+    kept = [last] * len(ORDERS)  # for each order the characters that begin n-grams not yet complete
+    some = False
+    text = text.lower()
+    for at in range(0, len(text) + 1, SLICE):
+        raw = text[at : at + SLICE].encode("utf-32-le", "surrogatepass")
         c = np.frombuffer(raw, np.uint32)
         c = np.where(letters()[c], c, 32).astype(np.uint64)
-        c = np.concatenate(([np.uint64(32)], c, [np.uint64(32)]))
-        c = c[np.concatenate(([True], (c[1:] != 32) | (c[:-1] != 32)))]
-        if len(c) < 3:
-            continue
-        key = np.zeros(len(c), np.uint64)
-        for n in ORDERS:
-            key = key[: len(c) - n + 1] * np.uint64(0x110001) + c[n - 1 :]
+        if at + SLICE > len(text):
+            c = np.concatenate((c, [np.uint64(32)]))
+        before = np.concatenate((last, c))[:-1]
+        c = c[(c != 32) | (before != 32)]
+        some = some or bool((c != 32).any())
+        if len(c):
+            last = c[-1:]
+        for k, n in enumerate(ORDERS):
+            own = np.concatenate((kept[k], c))
+            kept[k] = own[max(0, len(own) - n + 1) :]
+            key = np.zeros(max(0, len(own) - n + 1), np.uint64)
+            for j in range(n):
+                key = key * np.uint64(0x110001) + own[j : j + len(key)]
             mixed = (key + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
             mixed ^= mixed >> np.uint64(29)
             mixed *= np.uint64(0xBF58476D1CE4E5B9)
             found.append((mixed >> np.uint64(64 - BITS)).astype(np.int32))
-    return np.concatenate(found) if found else np.zeros(0, np.int32)
+    return np.concatenate(found) if some else np.zeros(0, np.int32)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,15 +101,13 @@ class Model:
         names, scores = [UND] * len(texts), [0.0] * len(texts)
         if not self.langs:
             return names, scores
-        shift, at, ids, size = 0, [], [], 0
-        while (len(self.logs) << shift) < (1 << BITS):
-            shift += 1
+        at, ids, size = [], [], 0
 
         def flush() -> None:
             nonlocal at, ids, size
             if at:
                 starts = np.cumsum([0, *(len(x) for x in ids[:-1])])
-                rows = self.logs[np.concatenate(ids) >> shift]
+                rows = self.logs[np.concatenate(ids)]
                 sums = np.add.reduceat(rows, starts, axis=0, dtype=np.float64)
                 best = sums.argmax(axis=1)
                 sure = 1 / np.exp(np.maximum(sums - sums.max(axis=1, keepdims=True), -700)).sum(axis=1)
@@ -109,7 +120,7 @@ class Model:
             if not text or not len(g := grams(text)):
                 continue
             if len(g) > most:  # a very long text: its n-grams in pieces
-                sums = sum(self.logs[g[i : i + most] >> shift].sum(axis=0, dtype=np.float64) for i in range(0, len(g), most))
+                sums = sum(self.logs[g[i : i + most]].sum(axis=0, dtype=np.float64) for i in range(0, len(g), most))
                 names[k] = self.langs[int(sums.argmax())]
                 scores[k] = float(1 / np.exp(np.maximum(sums - sums.max(), -700)).sum())
                 continue
@@ -122,25 +133,28 @@ class Model:
         return names, scores
 
 
-def train(labelled: DataFrame, smoothing: float = 0.01) -> Model:
+def train(labelled: DataFrame, smoothing: float = 0.01, most: int = MOST) -> Model:
     """Count the n-grams of all rows (lang, text); what is collected is languages times buckets.
 
-    Rows with a null in either column are left out.  No rows give a model
-    without languages, which answers 'und'.
+    Rows with a null in either column are left out; repeated rows count each
+    time.  No rows give a model without languages, which answers 'und'.
+    ``most`` bounds the matrix: a table with more languages is refused with a
+    ValueError before anything is collected.
     """
     tune(labelled.sparkSession)
     rows = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
-    found = rows.mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    summed = rows.mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    found = summed.limit((most << BITS) + 1).toArrow()
     lang, bucket, n = (found.column(k) for k in ("lang", "bucket", "n"))
-    langs = sorted(set(lang.to_pylist()))
-    width = 1 << BITS
-    while langs and width * len(langs) > MOST and width > 1024:
-        width //= 2
-    counts = np.full((width, len(langs)), smoothing)
+    langs = sorted(lang.unique().to_pylist())
+    if len(langs) > most:
+        raise ValueError(f"more than {most} languages: raise most, for 256 KB of broadcast each")
+    counts = np.full((1 << BITS, len(langs)), smoothing)
     if langs:
         place = {x: k for k, x in enumerate(langs)}
-        col = np.array([place[x] for x in lang.to_pylist()])
-        np.add.at(counts, (bucket.to_numpy() // ((1 << BITS) // width), col), n.to_numpy())
+        coded = lang.combine_chunks().dictionary_encode()
+        col = np.array([place[x] for x in coded.dictionary.to_pylist()])[coded.indices.to_numpy()]
+        counts[bucket.to_numpy(), col] += n.to_numpy()
     logs = np.log(counts / counts.sum(axis=0)) if langs else counts
     return Model(langs, logs.astype(np.float32))
 
@@ -148,7 +162,8 @@ def train(labelled: DataFrame, smoothing: float = 0.01) -> Model:
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score: 'und' and 0 where the text is null, empty or has no letters.
 
-    The matrix is broadcast; its size is bounded by MOST entries.
+    The matrix is broadcast; its size is bounded by train().  Texts are read
+    whole; repeated rows stay; columns named lang_pred or score are replaced.
     """
     tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.logs))

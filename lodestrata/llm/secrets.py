@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import let
+from .base import let, unveiled, veiled
 
 # The kinds in their order, their patterns and least lengths.
 KINDS = ("assign", "access", "hex", "markov")
@@ -115,6 +115,31 @@ def train(sample: DataFrame, smoothing: float = 0.3) -> Model:
 
 
 SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
+#: Elements in a block of running().
+BLOCK = 256
+
+
+def running(n: Column, begin: Column, none: Column, step) -> Column:
+    """A flat array of what step(state, i) lists for i from 0 to n - 1, passing a state on.
+
+    ``step`` gives a struct (state, out), out an array like ``none``.  An array
+    that grows by one element is copied each time; so the numbers go in blocks
+    of 256, whose short arrays are joined in the end, and the work stays in
+    proportion to n.
+    """
+    nothing = F.array(none)
+
+    def block(acc: Column, k: Column) -> Column:
+        def one(inner: Column, i: Column) -> Column:
+            return let(step(inner["state"], i), lambda s: F.struct(s["state"].alias("state"), F.concat(inner["out"], s["out"]).alias("out")))
+
+        ids = F.sequence(k * BLOCK, F.least((k + 1) * BLOCK, n) - 1)
+        inner = F.aggregate(ids, F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        return let(inner, lambda x: F.struct(x["state"].alias("state"), F.array_append(acc["out"], x["out"]).alias("out")))
+
+    blocks = F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))
+    folded = F.aggregate(blocks, F.struct(begin.alias("state"), F.slice(nothing, 1, 0).alias("out")), block)
+    return F.when(n > 0, F.flatten(folded["out"])).otherwise(none)
 
 
 def places(text: Column, pattern: str, kind: int, good=None, group: int = 0) -> Column:
@@ -123,25 +148,46 @@ def places(text: Column, pattern: str, kind: int, good=None, group: int = 0) ->
     The gaps between matches and the matches themselves give the positions.
     ``good`` maps the text of the given group to whether the span is kept.
     """
+    none = F.array().cast(SPANS)
 
     def spans(parts: Column) -> Column:
         gaps, hits, values = parts["gaps"], parts["hits"], parts["values"]
 
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(gaps, i))
-            return let(
-                F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(F.get(hits, i))).alias("end")),
-                lambda s: F.struct(
-                    s["end"].alias("at"),
-                    (F.array_append(acc["out"], s) if good is None else F.when(good(F.get(values, i)), F.array_append(acc["out"], s)).otherwise(acc["out"])).alias("out"),
-                ),
-            )
+        def step(at: Column, i: Column) -> Column:
+            start = at + F.length(F.get(gaps, i))
+            one = lambda s: F.array(s).cast(SPANS) if good is None else F.when(good(F.get(values, i)), F.array(s).cast(SPANS)).otherwise(none)
+            span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(F.get(hits, i))).alias("end"))
+            return let(span, lambda s: F.struct(s["end"].alias("state"), one(s).alias("out")))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("out")), step)["out"]
+        return running(F.size(hits), F.lit(0).cast("long"), none, step)
 
     every = lambda k: F.regexp_extract_all(text, F.lit(pattern), F.lit(k))
     parts = F.struct(F.split(text, pattern, -1).alias("gaps"), every(0).alias("hits"), every(group).alias("values"))
-    return F.when(text.rlike(pattern), let(parts, spans)).otherwise(F.array().cast(SPANS))
+    return F.when(text.rlike(pattern), let(parts, spans)).otherwise(none)
+
+
+MARKOV = KINDS.index("markov")
+
+
+def apart(base: Column, extra: Column) -> Column:
+    """The spans of extra that overlap none of base.
+
+    Both are merged by start.  Spans of extra don't overlap one another, so a
+    span of base that begins inside one comes right after it; those that begin
+    before it are known by the furthest end so far.
+    """
+    none = F.array().cast(SPANS)
+
+    def walk(every: Column) -> Column:
+        def step(furthest: Column, i: Column) -> Column:
+            mine, after = F.get(every, i), F.get(every, i + 1)
+            own = mine["kind"] == MARKOV
+            free = own & (furthest <= mine["start"]) & F.coalesce((after["kind"] == MARKOV) | (after["start"] >= mine["end"]), F.lit(True))
+            return F.struct(F.when(own, furthest).otherwise(F.greatest(furthest, mine["end"])).alias("state"), F.when(free, F.array(mine)).otherwise(none).alias("out"))
+
+        return running(F.size(every), F.lit(0).cast("long"), none, step)
+
+    return F.when((F.size(base) == 0) | (F.size(extra) == 0), extra).otherwise(let(F.array_sort(F.concat(base, extra)), walk))
 
 
 def scan(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -149,9 +195,12 @@ def scan(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     base holds the fixed patterns; extra the strings that the models call
     random and that overlap no base span.  A null text counts as empty.  Long
-    texts are scanned whole.
+    texts are scanned whole, in time proportional to their matches.  Repeated
+    rows stay, each with its own spans; columns named base or extra are
+    replaced, all others are kept.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    out, own = veiled(docs.drop("base", "extra"))
+    text = F.coalesce(F.col(own[text_col]).cast("string"), F.lit(""))
     base = F.array_sort(
         F.concat(
             places(text, ASSIGN, 0, lambda value: F.length(value) >= LEAST_VALUE, group=2),
@@ -159,9 +208,9 @@ def scan(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             places(text, HEX, 2),
         )
     )
-    more = places(text, CANDIDATE, 3, lambda token: model.ratio(token) > model.least) if model.least < math.inf else F.array().cast(SPANS)
-    found = docs.drop("base", "extra").withColumn("base", base).withColumn("extra", more)
-    return found.withColumn("extra", F.filter("extra", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))))
+    more = places(text, CANDIDATE, MARKOV, lambda token: model.ratio(token) > model.least) if model.least < math.inf else F.array().cast(SPANS)
+    found = out.withColumn("base", base).withColumn("more", more).withColumn("extra", apart(F.col("base"), F.col("more")))
+    return unveiled(found, own | {"base": "base", "extra": "extra"})
 
 
 def listed(spans: Column) -> Column:
@@ -171,13 +220,13 @@ def listed(spans: Column) -> Column:
 
 
 def summary(found: DataFrame) -> DataFrame:
-    """scan() with counts and digests in place of the spans."""
+    """scan() with counts and digests in place of the spans; columns of their names are replaced."""
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
-    return found.select(
-        *[F.col(c) for c in found.columns if c not in ("base", "extra")],
-        n(0).alias("n_assign"),
-        n(1).alias("n_access"),
-        n(2).alias("n_hex"),
-        F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
-        listed(F.array_sort(F.concat("base", "extra"))).alias("spans"),
-    )
+    added = {
+        "n_assign": n(0),
+        "n_access": n(1),
+        "n_hex": n(2),
+        "base_sha256": F.sha2(listed(F.col("base")), 256),
+        "spans": listed(F.array_sort(F.concat("base", "extra"))),
+    }
+    return found.select(*[F.col(f"`{c}`") for c in found.columns if c not in ("base", "extra", *added)], *[c.alias(name) for name, c in added.items()])

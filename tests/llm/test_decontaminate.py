@@ -49,9 +49,15 @@ def rows(df):
 def test_against_brute_force(spark, case, monkeypatch, set_bytes, piece):
     monkeypatch.setattr(dc, "PIECE", piece)
     docs, items = case
-    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as n_words", "'q' as item_id")
+    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as n_words", "'q' as item_id", "2 as n_hit", "3 as contaminated", "4 as digest", "5 as own_digest")
     b = spark.createDataFrame(items, "item_id long, text string")
-    got = rows(dc.summary(dc.find_hits(d, b, set_bytes=set_bytes)))
+    found = dc.find_hits(d, b, set_bytes=set_bytes)
+    # However many sets there are, a task runs one Python worker for each step, never one for each set.
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 2
+    out = dc.summary(found)
+    assert len(set(out.columns)) == len(out.columns)
+    assert {(r.item_id, r.digest, r.own_digest) for r in out.collect()} == {("q", 4, 5)}
+    got = rows(out)
     want = sorted((-1 if i is None else i, *brute(t, items)) for i, t in docs)
     assert got == want
     assert any(x[2] for x in want) and any(not x[2] for x in want)

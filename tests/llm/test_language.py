@@ -1,4 +1,8 @@
+import math
 import zlib
+from collections import Counter
+
+import pytest
 
 from lodestrata.llm import language
 from lodestrata.llm.queries import op4_language
@@ -36,8 +40,55 @@ def test_pieces_agree():
     assert model.score([text])[0] == model.score([None, text, "x"])[0][1:2]
 
 
-def test_folded_buckets():
-    np = __import__("numpy")
-    logs = np.random.default_rng(0).normal(size=(1 << 12, 3)).astype("float32")
-    wide = np.repeat(logs, 16, axis=0)
-    assert language.Model(["a", "b", "c"], logs).score(["some text"]) == language.Model(["a", "b", "c"], wide).score(["some text"])
+def plain_grams(text):
+    """Whole text at once, one n-gram after another."""
+    c = [ord(x) if x.isalpha() else 32 for x in text.lower()]
+    c = [x for x, before in zip([32, *c, 32], [0, 32, *c], strict=True) if x != 32 or before != 32]
+    if len(c) < 3:
+        return []
+    out = []
+    for n in (1, 2, 3):
+        for i in range(len(c) - n + 1):
+            key = 0
+            for x in c[i : i + n]:
+                key = (key * 0x110001 + x) % 2**64
+            mixed = (key + n) * 0x9E3779B97F4A7C15 % 2**64
+            mixed = (mixed ^ (mixed >> 29)) * 0xBF58476D1CE4E5B9 % 2**64
+            out.append(mixed >> 48)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("text", ["", " ", "a", "  ab  c1d ", "The İ cat ẞ and 12 more... ", "x" * 9, "no end here", "12 34"])
+def test_slices_equal_the_whole(text, monkeypatch):
+    want = plain_grams(text)
+    for size in (1 << 20, 1, 2, 3, 5, len(text) or 1):
+        monkeypatch.setattr(language, "SLICE", size)
+        assert sorted(language.grams(text).tolist()) == want
+
+
+def test_against_plain_bayes(spark, tiny):
+    """Counts, smoothing and posteriors of every document, computed again without the operator's code."""
+    docs = [r for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()]
+    counts = {}
+    for r in docs:
+        if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            counts.setdefault(r.lang, Counter()).update(plain_grams(r.text))
+    langs = sorted(counts)
+    sums = {k: sum(counts[k].values()) + 0.01 * 65536 for k in langs}
+    got = {r.doc_id: r for r in op4_language(spark, tiny).collect()}
+    for r in docs:
+        own = Counter(plain_grams(r.text or ""))
+        if not own:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0)
+            continue
+        logs = [sum(n * math.log((counts[k][g] + 0.01) / sums[k]) for g, n in own.items()) for k in langs]
+        best = max(logs)
+        assert got[r.doc_id].lang_pred == langs[logs.index(best)]
+        assert abs(got[r.doc_id].score - 1 / sum(math.exp(max(x - best, -700)) for x in logs)) < 1e-3
+
+
+def test_too_many_languages(spark):
+    df = spark.createDataFrame([(f"l{k}", "some text") for k in range(5)], "lang string, text string")
+    with pytest.raises(ValueError, match="more than 4"):
+        language.train(df, most=4)
+    assert len(language.train(df, most=5).langs) == 5

@@ -73,9 +73,44 @@ def test_query(spark, tiny):
 
 
 def test_odd_rows(spark, model):
-    df = spark.createDataFrame([(1, None), (None, "token=abcdefgh"), (1, None)], "doc_id long, text string").selectExpr("*", "1 as extra", "'x' as spans")
-    got = secrets.summary(secrets.scan(df.drop("spans"), model)).collect()
-    assert sorted((r.doc_id or 0, r.n_assign, r.spans) for r in got) == [(0, 1, "assign:0:14"), (1, 0, ""), (1, 0, "")]
+    df = spark.createDataFrame([(1, None), (None, "token=abcdefgh"), (1, None)], "doc_id long, text string").selectExpr("*", "1 as extra", "'x' as spans", "2 as n_hex", "3 as more", "'k' as `a.b`")
+    got = secrets.summary(secrets.scan(df, model))
+    assert sorted(got.columns) == sorted(["doc_id", "text", "more", "a.b", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+    assert sorted((r.doc_id or 0, r.n_assign, r.spans, r.more, r["a.b"]) for r in got.collect()) == [(0, 1, "assign:0:14", 3, "k"), (1, 0, "", 3, "k"), (1, 0, "", 3, "k")]
     assert secrets.scan(df.where("false"), model).collect() == []
     blob = "Zx9" * 200_000
     assert secrets.summary(secrets.scan(spark.createDataFrame([(blob,)], "text string"), model)).first().n_hex == 0
+
+
+def plain_ratio(model, token):
+    total, before = 0.0, secrets.CLASSES - 1
+    for c in token:
+        now = secrets.ALPHABET.index(c) + 1
+        total += round(model.weights[before * secrets.CLASSES + now], 6)
+        before = now
+    return total / len(token)
+
+
+def test_spans_against_brute_force(spark, tiny, model):
+    """All spans of all documents: strings above the threshold that no base span overlaps."""
+    assert secrets.CLASSES ** 2 == len(model.weights)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
+    texts[-1] = "secret=aB3" + "x7Gq9ZpL2vKd8RtYw3Bn5Ms" + " x7Gq9ZpL2vKd8RtYw3Bn5Ms" * 700 + " token=hunter2hunter " + "0123456789abcdef" * 3 + " Qm9zW4kT-7yUe_2pXcV8nRj"
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in secrets.summary(secrets.scan(df, model)).collect():
+        base = brute(texts[r.doc_id])
+        more = [(m.start(), 3, m.end()) for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", texts[r.doc_id]) if plain_ratio(model, m[0]) > model.least]
+        more = [(s, k, e) for s, k, e in more if not any(b < e and s < f for b, _, f in base)]
+        assert r.spans == spelt(sorted(base + more)), r.doc_id
+
+
+def test_time_in_proportion(spark, model):
+    import time
+
+    took = []
+    for n in (2000, 64_000, 128_000):
+        df = spark.createDataFrame([(" ".join(f"token={i:08d}" for i in range(n)),)], "text string").repartition(1)
+        at = time.time()
+        assert secrets.summary(secrets.scan(df, model)).first().n_assign == n
+        took.append(time.time() - at)
+    assert took[2] < 4 * max(took[1], 2), took
