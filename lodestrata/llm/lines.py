@@ -1,19 +1,22 @@
-"""Line deduplication by prefix doubling over line numbers.
+"""Line deduplication by a suffix array over line numbers.
 
 All lines of the corpus, in order of document and position, form one sequence.
-Prefix doubling ranks its suffixes: level 0 ranks a suffix by its first line,
-level k+1 by the pair of level-k ranks at its start and 2^k lines further on.
-A rank is the place of the first suffix with the same 2^k lines, so suffixes of
-equal rank are one interval of the suffix array, with a common prefix of at
-least 2^k lines.  A suffix that is alone in its interval leaves: only runs that
-repeat go on, and every level is smaller than the one before.
-
-A run of any length l is named by two ranks of the level k with 2^k <= l <
-2^(k+1), at its start and 2^k lines before its end.  That gives the interval
-with common prefix l, and its first member.  The runs asked for are the
-shortest with enough words, from each line forwards and backwards; together
-they cover just the lines that lie in some repeated maximal run with enough
-words, since every line of such a run lies in one of its own shortest runs.
+Prefix doubling sorts its suffixes: level 0 by their first line, level k+1 by
+the pair of level-k ranks at their start and 2^k lines further on.  A rank is a
+place in that sorted order (of distinct beginnings), so ranks order the
+suffixes, and suffixes of equal rank are an interval of the suffix array whose
+longest common prefix is 2^k lines at least.  A suffix that is alone in its
+interval leaves: only runs that repeat go on, and every level is smaller than
+the one before.
+
+The interval with a common prefix of l lines, for any l with 2^k <= l <
+2^(k+1), is the set of suffixes that agree in two ranks of level k: at the
+start, and 2^k lines before the end of the prefix.  Its member that stands
+first in the corpus stays and the later ones are deleted.  The intervals asked
+for are those of the shortest runs with enough words, from each line forwards
+and backwards; together they cover just the lines that lie in some repeated
+maximal run with enough words, since every line of such a run lies in one of
+its own shortest runs.
 
 Everything is DataFrame operations; no group is gathered.
 """
@@ -23,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import beside, let, release, store
+from .base import beside, let, release, store, unveiled, veiled
 
 #: A word, as it is counted here.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,13 +40,22 @@ def _line_table(texts: DataFrame) -> DataFrame:
 
 
 def _rank(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose keys occur at least twice, with rank: the first pid that has them.
+    """Rows whose keys occur at least twice, with rank: the place of their keys in sorted order.
 
-    Keys are counted by partial aggregates; the join meets one row for a key,
-    so a very common line can be split over tasks.
+    rows must be stored, as they are read more than once.  Keys are counted by
+    partial aggregates, and sorted once each.  Those with over a thousandth of
+    the rows, fewer than a thousand, meet their rows by broadcast, so that a
+    very common line doesn't gather in one task; the others by a join with one
+    row for a key.
     """
-    first = rows.groupBy(*keys).agg(F.min("pid").alias("rank"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return rows.join(first, keys).drop(*keys)
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ranked = store(counted.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id()), "line-keys")
+    total = ranked.agg(F.sum("n")).first()[0] or 0
+    common = ranked.where(F.col("n") * 1000 > total).drop("n")
+    rest = ranked.where(F.col("n") * 1000 <= total).drop("n")
+    if common.isEmpty():
+        return rows.join(rest, keys).drop(*keys)
+    return rows.join(F.broadcast(common), keys).drop(*keys).unionByName(rows.join(F.broadcast(common), keys, "left_anti").join(rest, keys).drop(*keys))
 
 
 def find_copies(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,7 +104,9 @@ def find_copies(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
         now = levels[-1].select("pid", "start", "rank")
         later = now.select((F.col("pid") - half).alias("pid"), F.col("start").alias("start2"), F.col("rank").alias("rank2"))
         pairs = now.join(later, "pid").where("start = start2").select("pid", "start", F.col("rank").alias("r1"), F.col("rank2").alias("r2"))
+        pairs = store(pairs, "line-pairs")
         levels.append(store(_rank(pairs, ["r1", "r2"]), "line-ranks"))
+        release(pairs)
 
     named = None
     for k, level in enumerate(levels):
@@ -124,24 +138,27 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     deleted; blank lines count for nothing and stay, unless nothing else does:
     then the text is empty.  Only equal lines match.  Rows with equal id and
     text are one document and fare alike; null ids come last; a null text has no
-    lines and stays null.  n_lines and n_deleted count non-blank lines.
+    lines and stays null.  n_lines and n_deleted count non-blank lines; columns
+    named so are replaced, and all others are kept, whatever their names.
     """
-    out = docs.drop("n_lines", "n_deleted")
-    dead = find_copies(out, min_words, id_col, text_col).withColumnRenamed("h", "_h")
+    out, own = veiled(docs.drop("n_lines", "n_deleted"))
+    doc_id, text_col = own[id_col], own[text_col]
+    dead = beside(find_copies(out, min_words, doc_id, text_col))
     text = F.col(text_col).cast("string")
-    dead = beside(dead.selectExpr("_h", "first_id as _first", "all_words as _words", "dead as _dead"))
-    joined = out.withColumn("_h0", F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))).join(dead, F.col("_h0") == F.col("_h"), "left")
-    whole = F.col("_h").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("_first")) & (F.col("_words") >= min_words)
-    some = F.col("_h").isNotNull() & F.col(id_col).eqNullSafe(F.col("_first")) & F.col("_dead").isNotNull()
+    joined = out.withColumn("own_h", F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))).join(dead, F.col("own_h") == F.col("h"), "left")
+    first = F.col(doc_id).eqNullSafe(F.col("first_id"))
+    whole = F.col("h").isNotNull() & ~first & (F.col("all_words") >= min_words)
+    some = F.col("h").isNotNull() & first & F.col("dead").isNotNull()
 
     def cut(lines: Column) -> Column:
-        kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_dead")), lambda i: F.get(lines, i))
+        kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dead")), lambda i: F.get(lines, i))
         return let(kept, lambda kept: F.when(F.exists(kept, lambda x: x.rlike(WORD)), F.array_join(kept, "\n")).otherwise(""))
 
     count = F.coalesce(F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))), F.lit(0)).cast("long")
     n_lines = F.when(text.isNull(), F.lit(0).cast("long")).otherwise(count)
-    return joined.select(
+    result = joined.select(
         *[F.when(whole & text.isNotNull(), F.lit("")).when(some, let(F.split(text, "\n"), cut)).otherwise(text).alias(c) if c == text_col else F.col(c) for c in out.columns],
         n_lines.alias("n_lines"),
-        F.when(whole, n_lines).when(some, F.size("_dead").cast("long")).otherwise(F.lit(0).cast("long")).alias("n_deleted"),
+        F.when(whole, n_lines).when(some, F.size("dead").cast("long")).otherwise(F.lit(0).cast("long")).alias("n_deleted"),
     )
+    return unveiled(result, own | {"n_lines": "n_lines", "n_deleted": "n_deleted"})
