@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -21,7 +22,7 @@ TEXTS = {
 
 @pytest.fixture(scope="module")
 def out(spark):
-    df = spark.createDataFrame(list(TEXTS.items()), "doc_id long, text string").selectExpr("*", "5 as n_entities", "1 as _x")
+    df = spark.createDataFrame(list(TEXTS.items()), "doc_id long, text string").selectExpr("*", "5 as n_entities", "1 as _x", "2 as _new", "3 as _draws", "4 as new", "5 as draws")
     return {r.doc_id: r for r in sg.pseudonymise(df, "key").collect()}
 
 
@@ -68,6 +69,52 @@ def test_names(out):
     assert "Lovelace" not in t and "Ada" not in t
 
 
+def test_later_mentions(spark):
+    text = "Dr. Ada Lovelace wrote. Lovelace died. John Smith came; Smith and JOHN, Johnson and Adam left. Ada stayed."
+    df = spark.createDataFrame([(1, text), (1, text), (2, "Smith and Lovelace stay where no name is found.")], "doc_id long, text string")
+    got = sg.pseudonymise(df, "key").collect()
+    m = re.fullmatch(r"Dr\. (\w+) (\w+) wrote\. (\w+) died\. (\w+) (\w+) came; (\w+) and JOHN, Johnson and Adam left\. (\w+) stayed\.", got[0].text)
+    assert m, got[0].text
+    assert m[2] == m[3] != "Lovelace" and m[5] == m[6] != "Smith" and m[1] == m[7] != "Ada" and m[4] != "John"
+    assert got[0].text == got[1].text and got[0].n_name == 5
+    assert got[2].text == "Smith and Lovelace stay where no name is found."
+
+
+@pytest.mark.parametrize("kind", ["private", "phone", "ssn", "card", "public"])
+def test_permutations(spark, kind):
+    """Whole ranges: every number gets another one, of its own class, and no two get the same."""
+    rnd = random.Random(5)
+    made = {
+        "private": lambda: [f"192.168.{x}.{y}" for x in range(256) for y in range(256)],
+        "phone": lambda: [f"+49{x:05d}" for x in range(20_000, 60_000)] + [f"{k}12345678" for k in range(10)] + ["+491234567890123", "+4912"],
+        "ssn": lambda: [f"{a:03d}{g:02d}{s:04d}" for a in (0, 1, 5, 665, 666, 667, 899, 900) for g in (0, 1, 50, 99) for s in (0, 1, 9999)],
+        "card": lambda: sorted({f"4{rnd.randrange(10**11):011d}{x}" for _ in range(3000) for x in range(10)}),
+        "public": lambda: [f"{a}.{b}.{c}.9" for a in (1, 8, 10, 100, 127, 172, 192, 203, 223, 224, 255, 0) for b in (0, 15, 16, 31, 32, 168, 255) for c in range(0, 256, 5)],
+    }[kind]()
+    kinds = {"private": "ip", "public": "ip"}.get(kind, kind)
+    df = spark.createDataFrame([(x,) for x in made], "canon string").withColumn("new", sg.surrogate("key", F.lit(kinds), F.col("canon"), F.lit(0), sg.Names("key")))
+    got = {r.canon: r.new for r in df.collect()}
+    assert len(got) == len(set(got.values())) == len(made)
+    assert all(len(a) == len(b) for a, b in got.items()) or kinds == "ip"
+    if kinds == "ip":
+        import ipaddress
+
+        assert all(ipaddress.ip_address(a).is_private == ipaddress.ip_address(b).is_private for a, b in got.items() if not a.startswith(("0.", "198.", "203.", "192.0.")))
+    if kind == "private":
+        assert set(got.values()) == set(made)
+    if kind == "card":
+        assert all((luhn(a) == 0) == (luhn(b) == 0) for a, b in got.items())
+    never = {"0000"} if kind == "ssn" else set()
+    assert [a for a, b in got.items() if a == b and not (kind == "ssn" and a[:3] in ("000", "666", "900") and a[3:5] == "00" and a[5:] in never)] == []
+
+
+def test_many_addresses(spark):
+    texts = [(x, " ".join(f"192.168.{x}.{y}" for y in range(256))) for x in range(256)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {h for r in sg.pseudonymise(df, "k").collect() for h in r.text.split()}
+    assert len(got) == 65536 and all(h.startswith("192.168.") for h in got)
+
+
 def test_keys_differ(spark, out):
     df = spark.createDataFrame([(1, TEXTS[1])], "doc_id long, text string")
     assert sg.pseudonymise(df, "other").first().text != out[1].text
