@@ -50,7 +50,7 @@ def test_against_brute_force(spark, vectors, monkeypatch, tile):
     assert all(got[i].kept == (got[i].component_id == i) for i in ids)
     assert [got[ids[k]].n_links for k in (3, 4, 10)] == [0, 0, 0]
     # With every pivot shared at least once the retrieval is complete.
-    full = {r.vec_id: r for r in pivots.near_duplicates(df, pivots=64, prefix=64, shared=1).collect()}
+    full = {r.vec_id: r for r in pivots.near_duplicates(df, pivots=64, prefix=64, probes=64, shared=1).collect()}
     assert [full[i].n_links for i in ids] == near.sum(1).tolist()
     assert [full[i].component_id for i in ids] == [ids[w] for w in want]
 
