@@ -172,6 +172,12 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         group = components(vertices, taken)
 
 
+def component_sizes(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """size, n_components: how many components have so many vertices, those of one vertex included."""
+    sizes = components(vertices, edges).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    return sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n_components"))
+
+
 def cluster_counts(cells: DataFrame, size: int, cut: float) -> DataFrame:
     """n_clusters of a matrix of ``size`` nodes numbered from 0: i and j hang together if their value is at least the cut."""
     spark = cells.sparkSession

@@ -65,6 +65,11 @@ def rows_per_table(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("table_i", "table_j")).alias("table")).groupBy("table").agg(F.count(F.lit(1)).alias("n"))
 
 
+def distinct_variables(pairs: DataFrame, sides: list[str]) -> DataFrame:
+    """n_variables: how many different variables stand on any side of the pairs; nulls don't count."""
+    return pairs.select(F.explode(F.array(*sides)).alias("variable")).agg(F.count_distinct("variable").alias("n_variables"))
+
+
 def session_throughput(log: DataFrame, by: list[str], order: str, clock: str, drop_ms: int = 30_000) -> DataFrame:
     """Sessions of a log with a running clock in milliseconds: n_rows and rate per second.
 

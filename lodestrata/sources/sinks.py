@@ -9,10 +9,11 @@ from ..functions.text import escape_xml
 
 
 def _numbered(vertices: DataFrame, start: int) -> DataFrame:
+    """id, no, label: vertices numbered in order of their ids, numbers by value and texts by letters."""
     from ..operators.graph import number_vertices
 
-    names = number_vertices(vertices.select(F.format_string("%020d", F.col("id").cast("long")).alias("label")), start)
-    return names.select(F.col("label").cast("long").alias("key"), F.col("id").alias("no")).join(vertices, F.col("key") == F.col("id").cast("long")).select("id", "no", "label")
+    names = number_vertices(vertices.select(F.col("id").alias("label")), start)
+    return names.select(F.col("label").alias("id"), F.col("id").alias("no")).join(vertices.select("id", "label"), "id")
 
 
 def _with_ends(edges: DataFrame, numbered: DataFrame) -> DataFrame:

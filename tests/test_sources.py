@@ -148,3 +148,13 @@ def test_entry_without_llm(tmp_path, pipeline):
             shutil.copy(os.path.join(root, name), tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); o = e.oracle_sql(); assert 'moran_all_pairs' in q and 'pipeline' not in q and not any(k.startswith('op1') for k in q); assert set(o) <= set(q)"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+
+def test_graph_files_number_any_id(spark):
+    edges = spark.createDataFrame([("b", "a", 1.0)], "src string, dst string, weight double")
+    names = spark.createDataFrame([("b", "Bee"), ("a", "A & B")], "id string, label string")
+    assert [r.line for r in sinks.pajek(names, edges).collect()] == ["*Vertices 2", '1 "A & B"', '2 "Bee"', "*Arcs", "*Edges", '2 1 1.0 l ""']
+    assert '<node id="0" label="A &amp; B" />' in [r.line for r in sinks.gexf(names, edges).collect()]
+    signed = spark.createDataFrame([(-5, "five"), (-3, "three"), (2, "two")], "id long, label string")
+    none = spark.createDataFrame([], "src long, dst long, weight double")
+    assert [r.line for r in sinks.pajek(signed, none).collect()][1:4] == ['1 "five"', '2 "three"', '3 "two"']
