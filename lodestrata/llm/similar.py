@@ -57,7 +57,7 @@ def _lists(col: pa.Array) -> list[np.ndarray]:
 
 
 def _signed(docs: DataFrame, words: int) -> DataFrame:
-    """id, node (the name of the shingle set), fp and n (its size) of every row."""
+    """id, key (a hash of the text), node (the name of the shingle set), fp and n (its size) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -70,9 +70,9 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
                     parts.append(np.unique(own))
                 grams = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
                 node[k], fp[k], n[k] = name_of(grams), bits.fingerprint(), len(grams)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in (node, fp, n))], ["id", "node", "fp", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x.view(np.int64)) for x in (node, fp, n))], ["id", "key", "node", "fp", "n"])
 
-    return docs.mapInArrow(run, docs.select("id").schema.add("node", "long").add("fp", "long").add("n", "long"))
+    return docs.mapInArrow(run, docs.select("id", "key").schema.add("node", "long").add("fp", "long").add("n", "long"))
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -100,8 +100,11 @@ def link(docs: DataFrame, own: DataFrame, words: int, radius: int, least: float)
     cluster = store(connected_components(link_sized(nodes, radius, least)), "similar-clusters").withColumnRenamed("node", "_node")
     crowd = cluster.join(nodes, F.col("node") == F.col("_node")).select("node", "fp", F.col("root").alias("lead"))
     crowd = store(crowd, "similar-crowd")
+    # Only texts of the crowd are read again.
     wanted = crowd.select("node").distinct()
-    sets = store(_sets(docs, words).join(beside(wanted), "node", "left_semi").dropDuplicates(["node"]).join(crowd, "node").select("node", "fp", "lead", "grams"), "similar-sets")
+    keys = store(own.select("node", "key").join(beside(wanted), "node", "left_semi").select("key").distinct(), "similar-keys")
+    again = _sets(docs.join(beside(keys), "key", "left_semi"), words)
+    sets = store(again.join(beside(wanted), "node", "left_semi").dropDuplicates(["node"]).join(crowd, "node").select("node", "fp", "lead", "grams"), "similar-sets")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,7 +151,7 @@ def link(docs: DataFrame, own: DataFrame, words: int, radius: int, least: float)
 
     with batches_of(spark, PAIRS):
         more = store(pairs.mapInArrow(compare, "u long, v long"), "shingle-links")
-    for df in (nodes, sets, tiles, mixed, placed):
+    for df in (nodes, keys, sets, tiles, mixed, placed):
         release(df)
     return near.union(more)
 
@@ -165,7 +168,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     no component unless they are all there is.  Extra columns are not read.
     """
     tune(docs.sparkSession)
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
     own = store(_signed(docs, words), "similar-own")
     roots = store(connected_components(link(docs, own, words, radius, least)), "similar-roots").withColumnRenamed("node", "_node")
     nodes = own.groupBy("node").agg(F.min("id").alias("first"))
