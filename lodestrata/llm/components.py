@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import release, store
+from .base import FEW, release, store
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -17,19 +17,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
     component is a star around its smallest node.  The number of edges never
     grows, and each round is written to the shared folder, so nothing is
     collected and a lost executor costs one round.  Joins meet a hot node only
-    against one row for that node, which adaptive execution can split.
+    against one row for that node, which adaptive execution can split.  Edges
+    that are few enough for one task take their rounds there, without a shuffle.
     """
-    now = store(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    stored = now = store(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = _mark(now)
     while before[0]:
+        if before[0] <= FEW:
+            now = now.coalesce(1)
         lower = now.groupBy("u").agg(F.min("v").alias("low")).withColumnRenamed("u", "node")
         big = now.join(lower, now.v == lower.node, "left").select("u", F.coalesce("low", "v").alias("v")).distinct()
         least = big.groupBy("u").agg(F.min("v").alias("low")).withColumnRenamed("u", "node")
         pairs = big.join(least, big.u == least.node).select("u", "v", "low")
         small = pairs.select(F.explode(F.array(F.struct(F.col("u"), F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e"))
         after = store(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
-        release(now)
-        now, mark = after, _mark(after)
+        release(stored)
+        stored = now = after
+        mark = _mark(now)
         if mark == before:
             break
         before = mark
