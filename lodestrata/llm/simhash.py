@@ -17,8 +17,8 @@ from .components import connected_components
 
 SEED = 42
 LANES, LANE_BITS = 4, 16
-#: Fingerprints in a tile, about; and where the radius is wide.
-TILE, WIDE = 256, 1024
+#: Fingerprints in a tile, about; and where the radius is wide, where a tile is compared in blocks.
+TILE, WIDE, BLOCK = 256, 32_768, 1024
 #: Bytes of a text that are split into words at once.
 PIECE = 1 << 22
 _space = re.compile(rb"[\x20\x09-\x0D]")
@@ -101,6 +101,20 @@ def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = a2, b2
 
 
+def spanning(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The smallest number each of 0 to n - 1 reaches by the edges u, v."""
+    label = np.arange(n)
+    while len(u):
+        low = np.minimum(label[u], label[v])
+        np.minimum.at(label, label[u], low)
+        np.minimum.at(label, label[v], low)
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[u] != label[v]
+        u, v = u[apart], v[apart]
+    return label
+
+
 def steps(radius: int, lanes: int = LANES) -> list[tuple[int, ...]]:
     """Differences of lane counts that two fingerprints within the radius can have, one of each sign."""
     found = [d for d in itertools.product(range(-radius, radius + 1), repeat=lanes) if sum(map(abs, d)) <= radius]
@@ -171,23 +185,27 @@ def link_sized(nodes: DataFrame, radius: int, ratio: float) -> DataFrame:
     """Edges u, v that connect all nodes whose fingerprints lie within a wide radius and whose sizes within a ratio.
 
     nodes: node (long, distinct), fp and n (a size).  Tiles hold fingerprints
-    of one class of sizes, a factor of 1 / ratio wide, and of four neighbouring
-    population counts.  Only tiles of the same or the next class of sizes, and
-    whose counts can differ by no more than the radius, meet; all others are
-    skipped.  Every member of a pair of tiles is compared by exclusive-or and
-    bit count; the pair returns a spanning forest.
+    of one class of sizes, a factor of 1 / ratio wide, and of one range of
+    population counts, wider than the radius.  Only tiles of the same or the
+    next class of sizes, and of the same or the next range, meet.  A task sorts
+    the members of two tiles by population count and compares them in blocks;
+    blocks whose counts differ by more than the radius are skipped.  Every
+    member of a pair of blocks is compared by exclusive-or and bit count; the
+    pair of tiles returns a spanning forest.  A tile is copied once for each
+    tile it meets, so tiles are large: 20 bytes a member.
     """
-    group = 4
+    group = max(16, radius + 1)
     size = F.when(F.col("n") > 0, F.floor(F.log("n") / F.log(F.lit(1 / ratio)) + 1e-9)).otherwise(-9).cast("int")
-    cells = nodes.select("node", "fp", "n", size.alias("size"), F.floor(F.bit_count("fp") / group).cast("int").alias("ones"))
-    # 17 counts for each class of sizes, of which there are 196 at most for a ratio of 0.8.
+    # The middle range is centred at 32, the commonest count.
+    ones = F.floor((F.bit_count("fp") - 32 + group / 2) / group).cast("int")
+    cells = nodes.select("node", "fp", F.col("n").cast("int").alias("n"), size.alias("size"), ones.alias("ones"))
+    # At most 5 ranges for each class of sizes, of which there are 196 at most for a ratio of 0.8.
     counted = cells.groupBy("size", "ones").agg(F.ceil(F.count(F.lit(1)) / WIDE).cast("int").alias("chunks"))
     tiles = store(
         cells.join(F.broadcast(counted), ["size", "ones"]).groupBy("size", "ones", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk")).agg(F.collect_list(F.struct("node", "fp", "n")).alias("own")),
         "simhash-tiles",
     )
-    steps = [(s, o) for s in (0, 1) for o in range(-17, 18) if (abs(o) - 1) * group + 1 <= radius and (s, o) >= (0, 0)]
-    moves = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(o).alias("o")) for s, o in steps])
+    moves = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(o).alias("o")) for s, o in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
     meets = counted.select("size", "ones", F.explode(moves).alias("d"), F.col("chunks").alias("n1")).selectExpr("size", "ones", "size + d.s as size2", "ones + d.o as ones2", "n1")
     meets = meets.join(F.broadcast(counted.selectExpr("size as size2", "ones as ones2", "chunks as n2")), ["size2", "ones2"])
     meets = meets.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n1") - 1))).withColumn("chunk2", F.explode(F.sequence(F.lit(0), F.col("n2") - 1)))
@@ -199,22 +217,38 @@ def link_sized(nodes: DataFrame, radius: int, ratio: float) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def read(col: pa.Array):
             flat = col.flatten()
-            return flat.field("node").to_numpy(), flat.field("fp").to_numpy().view(np.uint64), flat.field("n").to_numpy()
+            fp = flat.field("fp").to_numpy().view(np.uint64)
+            ones = np.bitwise_count(fp).astype(int)
+            order = np.argsort(ones, kind="stable")
+            return (x[order] for x in (flat.field("node").to_numpy(), fp, flat.field("n").to_numpy(), ones))
 
         for batch in batches:
             for k, same in enumerate(batch.column(0).to_pylist()):
-                node, fp, n = read(batch.column(1).slice(k, 1))
-                node2, fp2, n2 = read(batch.column(2).slice(k, 1))
-                near = np.empty((len(fp), len(fp2)), bool)
-                for at in range(0, len(fp), TILE):
-                    near[at : at + TILE] = np.bitwise_count(fp[at : at + TILE, None] ^ fp2[None, :]) <= radius
-                if same:
-                    np.fill_diagonal(near, False)
-                r, c = np.nonzero(near)
-                near[r, c] = np.minimum(n[r], n2[c]) >= ratio * np.maximum(n[r], n2[c]) - 1e-9
-                r, c = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
-                if len(r):
-                    ids, label = np.concatenate((node[r], node2[c])), np.concatenate(forest(near[np.ix_(r, c)]))
+                node, fp, n, ones = read(batch.column(1).slice(k, 1))
+                node2, fp2, n2, ones2 = read(batch.column(2).slice(k, 1))
+                us, vs = [], []
+                for i in range(0, len(fp), BLOCK):
+                    a = slice(i, i + BLOCK)
+                    for j in range(i if same else 0, len(fp2), BLOCK):
+                        b = slice(j, j + BLOCK)
+                        if ones2[b][0] - ones[a][-1] > radius:
+                            break
+                        if ones[a][0] - ones2[b][-1] > radius:
+                            continue
+                        near = np.bitwise_count(fp[a, None] ^ fp2[None, b]) <= radius
+                        if same and i == j:
+                            np.fill_diagonal(near, False)
+                        r, c = np.nonzero(near)
+                        near[r, c] = np.minimum(n[a][r], n2[b][c]) >= ratio * np.maximum(n[a][r], n2[b][c]) - 1e-9
+                        r, c = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+                        if len(r):
+                            # The members of the second tile are numbered after those of the first.
+                            place, label = np.concatenate((i + r, len(fp) + j + c)), np.concatenate(forest(near[np.ix_(r, c)]))
+                            us.append(place)
+                            vs.append(place[label])
+                if us:
+                    ids, u, v = np.concatenate((node, node2)), np.concatenate(us), np.concatenate(vs)
+                    label = spanning(u, v, len(ids))
                     moved = label != np.arange(len(ids))
                     yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], ["u", "v"])
 

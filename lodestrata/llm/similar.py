@@ -18,8 +18,8 @@ from .base import batches_of, beside, release, slices, store, tune
 from .components import connected_components
 from .simhash import SEED, Bits, forest, hashed, link_sized
 
-#: Sets in a tile, about, and pairs of tiles in one Arrow batch.
-TILE, PAIRS = 128, 8
+#: Shingles in a tile, about (8 bytes each), the most sets in it, and pairs of tiles in one Arrow batch.
+TILE, SETS, PAIRS = 1 << 18, 2048, 2
 #: Columns of a table of shingles that are worked on at once.
 BLOCK = 4096
 
@@ -100,10 +100,11 @@ def link(docs: DataFrame, own: DataFrame, words: int, radius: int, least: float)
     cluster = store(connected_components(link_sized(nodes, radius, least)), "similar-clusters").withColumnRenamed("node", "_node")
     crowd = cluster.join(nodes, F.col("node") == F.col("_node")).select("node", "fp", F.col("root").alias("lead"))
     crowd = store(crowd, "similar-crowd")
-    # Only texts of the crowd are read again.
+    # Only texts of the crowd are read again, one of those with the same shingles.
     wanted = crowd.select("node").distinct()
-    keys = store(own.select("node", "key").join(beside(wanted), "node", "left_semi").select("key").distinct(), "similar-keys")
-    again = _sets(docs.join(beside(keys), "key", "left_semi"), words)
+    first = own.join(beside(wanted), "node", "left_semi").groupBy("node").agg(F.min(F.struct("key", "id")).alias("first"))
+    keys = store(first.select(F.col("first.key").alias("key1"), F.col("first.id").alias("id1")), "similar-keys")
+    again = _sets(docs.join(beside(keys), (F.col("key") == F.col("key1")) & F.col("id").eqNullSafe(F.col("id1")), "left_semi"), words)
     sets = store(again.join(beside(wanted), "node", "left_semi").dropDuplicates(["node"]).join(crowd, "node").select("node", "fp", "lead", "grams"), "similar-sets")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,13 +122,20 @@ def link(docs: DataFrame, own: DataFrame, words: int, radius: int, least: float)
 
     roots = connected_components(near).withColumnRenamed("node", "_node")
     placed = store(crowd.join(roots, F.col("node") == F.col("_node"), "left").select("lead", "node", F.coalesce("root", "node").alias("root")), "similar-placed")
-    mixed = store(placed.groupBy("lead").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("lead", "size"), "similar-mixed")
-    # The chunks of a cluster meet pair by pair: each is copied once for every chunk it meets.
-    chunked = placed.join(beside(mixed), "lead").withColumn("chunks", F.ceil(F.col("size") / TILE)).select("lead", "node", "root", "chunks", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"))
-    tiles = chunked.join(sets.select("node", "fp", "grams"), "node").groupBy("lead", "chunks", "chunk").agg(F.collect_list(F.struct("node", "root", "fp", "grams")).alias("own"))
+    sized = placed.join(nodes.select(F.col("node").alias("_node"), "n"), F.col("node") == F.col("_node"))
+    chunks = F.greatest(F.ceil(F.sum("n") / TILE), F.ceil(F.count(F.lit(1)) / SETS))
+    mixed = sized.groupBy("lead").agg(F.min("root").alias("low"), F.max("root").alias("high"), chunks.alias("chunks")).where("low <> high").select("lead", "chunks")
+    mixed = store(mixed, "similar-mixed")
+    # The chunks of a cluster meet pair by pair: each is copied once for every other chunk it meets.
+    chunked = placed.join(beside(mixed), "lead").select(F.col("node").alias("_node"), "root", "chunks", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"))
+    chunked = store(chunked, "similar-chunked")
+    tiles = sets.join(beside(chunked), F.col("node") == F.col("_node")).groupBy("lead", "chunks", "chunk").agg(F.collect_list(F.struct("node", "root", "fp", "grams")).alias("own"))
     tiles = store(tiles, "similar-tiles")
-    left = tiles.select("lead", F.col("chunk").alias("a"), F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("b"), F.col("own").alias("one"))
-    pairs = left.join(tiles.select("lead", F.col("chunk").alias("b"), F.col("own").alias("two")), ["lead", "b"]).select("one", "two")
+    several = tiles.where("chunks > 1")
+    left = several.select("lead", F.col("chunk").alias("a"), F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("b"), F.col("own").alias("one")).where("a <> b")
+    pairs = left.join(several.select("lead", F.col("chunk").alias("b"), F.col("own").alias("two")), ["lead", "b"]).select("one", "two")
+    # A tile meets itself where it lies.
+    pairs = pairs.union(tiles.select(F.col("own").alias("one"), F.col("own").alias("two")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def read(col: pa.Array):
@@ -151,7 +159,7 @@ def link(docs: DataFrame, own: DataFrame, words: int, radius: int, least: float)
 
     with batches_of(spark, PAIRS):
         more = store(pairs.mapInArrow(compare, "u long, v long"), "shingle-links")
-    for df in (nodes, keys, sets, tiles, mixed, placed):
+    for df in (nodes, keys, crowd, sets, tiles, mixed, chunked, placed):
         release(df)
     return near.union(more)
 

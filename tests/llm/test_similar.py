@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline as cp
 from lodestrata.llm import simhash, similar
 
@@ -41,6 +43,21 @@ def test_against_brute_force(spark, monkeypatch):
     assert len(set(want)) > 15
 
 
+def test_blocks_of_a_tile_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 5)
+    texts = made()
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame([*rows, *rows[:40], (None, texts[0])], "doc_id long, text string")
+    got = [(r.doc_id, r.component_id) for r in similar.near_copies(df).collect()]
+    want = brute(texts)
+    assert sorted(got, key=str) == sorted([*enumerate(want), *[(k, want[k]) for k in range(40)], (None, want[0])], key=str)
+
+
+def test_spanning():
+    label = simhash.spanning(np.array([5, 3, 7, 1]), np.array([3, 9, 8, 2]), 10)
+    assert label.tolist() == [0, 1, 1, 3, 4, 3, 6, 7, 7, 3]
+
+
 def test_stage_drops_near_copies(spark, tiny):
     rnd = random.Random(5)
     words = [f"w{rnd.randrange(9999)}" for _ in range(300)]
