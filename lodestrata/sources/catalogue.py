@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import csv
 import io
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -129,12 +129,12 @@ def read_plain(spark: SparkSession, path: str) -> DataFrame:
 
 
 def headers(spark: SparkSession, path: str) -> list[str] | None:
-    """The column names of a CSV file; None if it can't be read."""
+    """The column names of a CSV file, split as its rows are; None if there is no such file."""
     try:
         line = spark.read.text(path).first()
-    except Exception:  # a file that isn't there has no headers
+    except AnalysisException:  # a file that isn't there has no headers; any other error is raised
         return None
-    return None if line is None else unique_headers(next(csv.reader(io.StringIO(line.value.removeprefix("﻿")))))
+    return None if line is None else unique_headers(split_fields(line.value.removeprefix("﻿")))
 
 
 def counts(rows: DataFrame) -> DataFrame:
