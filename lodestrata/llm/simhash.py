@@ -18,7 +18,9 @@ from .components import connected_components
 SEED = 42
 LANES, LANE_BITS = 4, 16
 #: Fingerprints in a tile, about; and where the radius is wide, where a tile is compared in blocks.
-TILE, WIDE, BLOCK = 256, 32_768, 1024
+TILE, WIDE, BLOCK = 256, 65_536, 1024
+#: Bytes of a wide tile, about, and words of sketches that are compared at once.
+ROOM, WORDS = 8 << 20, 1 << 17
 #: Bytes of a text that are split into words at once.
 PIECE = 1 << 22
 _space = re.compile(rb"[\x20\x09-\x0D]")
@@ -181,28 +183,61 @@ def link(fps: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.mapInArrow(compare, "u long, v long")
 
 
+def sketch(own: np.ndarray, least: float) -> np.ndarray:
+    """The parities of how many members of a set of hashes fall on each of 2^k places, a bit a place.
+
+    Sketches of two sets differ in no more bits than the sets in members,
+    whatever the number of places, and sets of n and m members with a Jaccard
+    similarity of ``least`` differ in no more than apart(least) (n + m)
+    members.  With as many places as here, sets that have nothing in common
+    differ in more bits than that, but for small ones.
+    """
+    places = 1 << min(17, max(6, int(np.ceil(np.log2(8 * apart(least) * len(own) + 1)))))
+    odd = np.bincount((own & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def apart(least: float) -> float:
+    """The share of n + m in which sets of n and m members of that similarity differ at most."""
+    return (1 - least) / (1 + least)
+
+
+def folded(values: np.ndarray, at: np.ndarray, words: int) -> np.ndarray:
+    """Sketches, which lie one after another from the given places, as rows of so many words."""
+    out, length = np.zeros((len(at) - 1, words), np.uint64), np.diff(at)
+    for w in np.unique(length):
+        rows = np.flatnonzero(length == w)
+        out[rows] = np.bitwise_xor.reduce(values[at[rows][:, None] + np.arange(w)].reshape(len(rows), w // words, words), axis=1)
+    return out
+
+
 def link_sized(nodes: DataFrame, radius: int, ratio: float) -> DataFrame:
-    """Edges u, v that connect all nodes whose fingerprints lie within a wide radius and whose sizes within a ratio.
-
-    nodes: node (long, distinct), fp and n (a size).  Tiles hold fingerprints
-    of one class of sizes, a factor of 1 / ratio wide, and of one range of
-    population counts, wider than the radius.  Only tiles of the same or the
-    next class of sizes, and of the same or the next range, meet.  A task sorts
-    the members of two tiles by population count and compares them in blocks;
-    blocks whose counts differ by more than the radius are skipped.  Every
-    member of a pair of blocks is compared by exclusive-or and bit count; the
-    pair of tiles returns a spanning forest.  A tile is copied once for each
-    tile it meets, so tiles are large: 20 bytes a member.
+    """Edges u, v that connect all nodes whose fingerprints lie within a wide
+    radius and whose sketches and sizes allow a similarity of ratio.
+
+    nodes: node (long, distinct), fp, n (a size) and sketch.  Tiles hold
+    fingerprints of one class of sizes, a factor of 1 / ratio wide, and of one
+    range of population counts, wider than the radius.  Only tiles of the same
+    or the next class of sizes, and of the same or the next range, meet.  A
+    task sorts the members of two tiles by population count and compares them
+    in blocks; blocks whose counts differ by more than the radius are skipped.
+    Every member of a pair of blocks is compared by exclusive-or and bit count.
+    Pairs within the radius, of which chance makes more with every text, are
+    then compared by their sketches, unless they are connected already: no
+    pair of the similarity is lost, and next to none is left that lies far
+    below.  The pair of tiles returns a spanning forest.  A tile is copied once
+    for each tile it meets, so tiles are large.
     """
     group = max(16, radius + 1)
     size = F.when(F.col("n") > 0, F.floor(F.log("n") / F.log(F.lit(1 / ratio)) + 1e-9)).otherwise(-9).cast("int")
     # The middle range is centred at 32, the commonest count.
     ones = F.floor((F.bit_count("fp") - 32 + group / 2) / group).cast("int")
-    cells = nodes.select("node", "fp", F.col("n").cast("int").alias("n"), size.alias("size"), ones.alias("ones"))
+    cells = nodes.select("node", "fp", F.col("n").cast("int").alias("n"), "sketch", size.alias("size"), ones.alias("ones"))
     # At most 5 ranges for each class of sizes, of which there are 196 at most for a ratio of 0.8.
-    counted = cells.groupBy("size", "ones").agg(F.ceil(F.count(F.lit(1)) / WIDE).cast("int").alias("chunks"))
+    room = F.sum(F.lit(64) + 8 * F.size("sketch")) / ROOM
+    counted = cells.groupBy("size", "ones").agg(F.ceil(F.greatest(F.count(F.lit(1)) / WIDE, room)).cast("int").alias("chunks"))
     tiles = store(
-        cells.join(F.broadcast(counted), ["size", "ones"]).groupBy("size", "ones", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk")).agg(F.collect_list(F.struct("node", "fp", "n")).alias("own")),
+        cells.join(F.broadcast(counted), ["size", "ones"]).groupBy("size", "ones", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk")).agg(F.collect_list(F.struct("node", "fp", "n", "sketch")).alias("own")),
         "simhash-tiles",
     )
     moves = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(o).alias("o")) for s, o in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
@@ -217,15 +252,17 @@ def link_sized(nodes: DataFrame, radius: int, ratio: float) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def read(col: pa.Array):
             flat = col.flatten()
-            fp = flat.field("fp").to_numpy().view(np.uint64)
+            fp, lists = flat.field("fp").to_numpy().view(np.uint64), flat.field("sketch")
             ones = np.bitwise_count(fp).astype(int)
             order = np.argsort(ones, kind="stable")
-            return (x[order] for x in (flat.field("node").to_numpy(), fp, flat.field("n").to_numpy(), ones))
+            return *(y[order] for y in (flat.field("node").to_numpy(), fp, flat.field("n").to_numpy().astype(float), ones)), order, lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy().astype(np.int64)
 
         for batch in batches:
             for k, same in enumerate(batch.column(0).to_pylist()):
-                node, fp, n, ones = read(batch.column(1).slice(k, 1))
-                node2, fp2, n2, ones2 = read(batch.column(2).slice(k, 1))
+                node, fp, n, ones, order, values, at = read(batch.column(1).slice(k, 1))
+                node2, fp2, n2, ones2, order2, values2, at2 = read(batch.column(2).slice(k, 1))
+                words = min(np.diff(at).min(), np.diff(at2).min())
+                sketched, sketched2 = folded(values, at, words)[order], folded(values2, at2, words)[order2]
                 us, vs = [], []
                 for i in range(0, len(fp), BLOCK):
                     a = slice(i, i + BLOCK)
@@ -235,24 +272,34 @@ def link_sized(nodes: DataFrame, radius: int, ratio: float) -> DataFrame:
                             break
                         if ones[a][0] - ones2[b][-1] > radius:
                             continue
+                        rows, cols = len(fp[a]), len(fp2[b])
                         near = np.bitwise_count(fp[a, None] ^ fp2[None, b]) <= radius
                         if same and i == j:
                             np.fill_diagonal(near, False)
                         r, c = np.nonzero(near)
-                        near[r, c] = np.minimum(n[a][r], n2[b][c]) >= ratio * np.maximum(n[a][r], n2[b][c]) - 1e-9
-                        r, c = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
-                        if len(r):
-                            # The members of the second tile are numbered after those of the first.
-                            place, label = np.concatenate((i + r, len(fp) + j + c)), np.concatenate(forest(near[np.ix_(r, c)]))
-                            us.append(place)
-                            vs.append(place[label])
+                        fit = np.minimum(n[a][r], n2[b][c]) >= ratio * np.maximum(n[a][r], n2[b][c]) - 1e-9
+                        r, c = r[fit], c[fit]
+                        # In a block the members of the second tile are numbered after those of the first.
+                        label, step = np.arange(rows + cols), max(1, WORDS // words)
+                        for first in range(0, len(r), step):
+                            p, q = r[first : first + step], c[first : first + step]
+                            new = label[p] != label[rows + q]
+                            p, q = p[new], q[new]
+                            most = apart(ratio) * (n[a][p] + n2[b][q]) + 1e-6
+                            may = np.bitwise_count(sketched[i + p] ^ sketched2[j + q]).sum(axis=1, dtype=np.int64) <= most
+                            label = spanning(label[p[may]], label[rows + q[may]], rows + cols)[label]
+                        moved = np.flatnonzero(label != np.arange(rows + cols))
+                        if len(moved):
+                            place = np.concatenate((i + np.arange(rows), len(fp) + j + np.arange(cols)))
+                            us.append(place[moved])
+                            vs.append(place[label[moved]])
                 if us:
                     ids, u, v = np.concatenate((node, node2)), np.concatenate(us), np.concatenate(vs)
                     label = spanning(u, v, len(ids))
                     moved = label != np.arange(len(ids))
                     yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], ["u", "v"])
 
-    with batches_of(nodes.sparkSession, 4):
+    with batches_of(nodes.sparkSession, 2):
         found = store(pairs.mapInArrow(compare, "u long, v long"), "simhash-links")
     release(tiles)
     return found

@@ -13,13 +13,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from .base import batches_of, beside, release, slices, store, tune
 from .components import connected_components
-from .simhash import SEED, Bits, forest, hashed, link_sized
+from .simhash import SEED, Bits, forest, hashed, link_sized, sketch
 
-#: Shingles in a tile, about (8 bytes each), the most sets in it, and pairs of tiles in one Arrow batch.
-TILE, SETS, PAIRS = 1 << 18, 2048, 2
+#: Shingles in a tile, about (8 bytes each), the most sets in it, and pairs of tiles and of sets in one Arrow batch.
+TILE, SETS, PAIRS, TWOS = 1 << 18, 2048, 2, 100
 #: Columns of a table of shingles that are worked on at once.
 BLOCK = 4096
 
@@ -56,12 +57,13 @@ def _lists(col: pa.Array) -> list[np.ndarray]:
     return [values[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
-def _signed(docs: DataFrame, words: int) -> DataFrame:
-    """id, key (a hash of the text), node (the name of the shingle set), fp and n (its size) of every row."""
+def _signed(docs: DataFrame, words: int, least: float) -> DataFrame:
+    """id, key (a hash of the text), node (the name of the shingle set), fp, n (its size) and its sketch of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             node, fp, n = (np.zeros(batch.num_rows, np.uint64) for _ in range(3))
+            sketches = []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 bits, parts = Bits(), []
                 for hashes in hashed(text, words):
@@ -70,14 +72,15 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
                     parts.append(np.unique(own))
                 grams = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
                 node[k], fp[k], n[k] = name_of(grams), bits.fingerprint(), len(grams)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x.view(np.int64)) for x in (node, fp, n))], ["id", "key", "node", "fp", "n"])
+                sketches.append(sketch(grams, least).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x.view(np.int64)) for x in (node, fp, n)), pa.array(sketches, pa.list_(pa.int64()))], ["id", "key", "node", "fp", "n", "sketch"])
 
-    return docs.mapInArrow(run, docs.select("id", "key").schema.add("node", "long").add("fp", "long").add("n", "long"))
+    return docs.mapInArrow(run, docs.select("id", "key").schema.add("node", "long").add("fp", "long").add("n", "long").add("sketch", ArrayType(LongType())))
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, TWOS):
             sets = [grams(t, words) for t in batch.column(0).to_pylist()]
             names = pa.array(np.array([name_of(s) for s in sets], np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([names, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "grams"])
@@ -89,14 +92,15 @@ def link(docs: DataFrame, own: DataFrame, words: int, radius: int, least: float)
     """Edges u, v that connect all sets that link; only such sets have an edge.
 
     Sets link if their fingerprints differ in at most ``radius`` bits and
-    their similarity is at least ``least``.  Candidates form clusters.  First
+    their similarity is at least ``least``.  Candidates, whose sketches allow
+    that similarity, form clusters.  First
     each member meets the smallest of its cluster, which settles most of a
     group of copies in as many rows as it has members.  Then, in clusters that
     still hold several components, members of different components are
     compared tile by tile, and each pair of tiles returns a spanning forest.
     """
     spark = docs.sparkSession
-    nodes = store(own.dropDuplicates(["node"]).select("node", "fp", "n"), "similar-nodes")
+    nodes = store(own.dropDuplicates(["node"]).select("node", "fp", "n", "sketch"), "similar-nodes")
     cluster = store(connected_components(link_sized(nodes, radius, least)), "similar-clusters").withColumnRenamed("node", "_node")
     crowd = cluster.join(nodes, F.col("node") == F.col("_node")).select("node", "fp", F.col("root").alias("lead"))
     crowd = store(crowd, "similar-crowd")
@@ -118,7 +122,8 @@ def link(docs: DataFrame, own: DataFrame, words: int, radius: int, least: float)
 
     heads = sets.where("node = lead").select("lead", F.col("fp").alias("other"), F.col("grams").alias("theirs"))
     pairs = sets.where("node <> lead").join(heads, "lead").select("node", "lead", "fp", "other", "grams", "theirs")
-    near = store(pairs.mapInArrow(meet, "u long, v long"), "similar-stars")
+    with batches_of(spark, TWOS):
+        near = store(pairs.mapInArrow(meet, "u long, v long"), "similar-stars")
 
     roots = connected_components(near).withColumnRenamed("node", "_node")
     placed = store(crowd.join(roots, F.col("node") == F.col("_node"), "left").select("lead", "node", F.coalesce("root", "node").alias("root")), "similar-placed")
@@ -177,7 +182,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     tune(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
-    own = store(_signed(docs, words), "similar-own")
+    own = store(_signed(docs, words, least), "similar-own")
     roots = store(connected_components(link(docs, own, words, radius, least)), "similar-roots").withColumnRenamed("node", "_node")
     nodes = own.groupBy("node").agg(F.min("id").alias("first"))
     labelled = nodes.join(roots, F.col("node") == F.col("_node"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))

@@ -77,3 +77,43 @@ def test_stage_on_standard_tables(spark, tiny):
     want = {i for k, (i, _) in enumerate(rows) if top[k] == k}
     assert {r.doc_id for r in cp.near_dedup(spark, docs, tiny).collect()} == want
     assert len(want) < len(rows)
+
+
+def test_sketches_allow_every_pair_of_the_similarity():
+    rng = np.random.default_rng(5)
+    far = 0
+    for n in (1, 2, 5, 9, 40, 130, 1000, 20_000):
+        for _ in range(30):
+            own = np.unique(rng.integers(0, 2**64, n, np.uint64))
+            # From equal sets to a similarity of just 0.8, part of it by members one has more.
+            lost, more = rng.integers(0, n // 9 + 1, 2)
+            other = np.unique(np.concatenate((own[lost:], rng.integers(0, 2**64, more, np.uint64))))
+            alone = rng.integers(0, 2**64, n, np.uint64)
+            one, two, three = (simhash.sketch(x, 0.8) for x in (own, other, alone))
+            words = min(map(len, (one, two, three)))
+            rows = simhash.folded(np.concatenate((one, two, three)), np.cumsum([0, len(one), len(two), len(three)]), words)
+            bits = np.bitwise_count(rows[0] ^ rows[1:]).sum(axis=1)
+            common = len(np.intersect1d(own, other))
+            assert bits[0] <= len(own) + len(other) - 2 * common
+            if similar.alike(np.array(common), np.array(len(own)), np.array(len(other)), 0.8):
+                assert bits[0] <= simhash.apart(0.8) * (len(own) + len(other)) + 1e-6
+            far += n > 9 and bits[1] > simhash.apart(0.8) * (n + n)
+    assert far == 4 * 30
+
+
+def test_texts_near_by_chance_form_no_cluster(spark, monkeypatch):
+    """Chance brings fingerprints within the radius, for more texts the more there are; here for all."""
+    rnd = random.Random(8)
+    texts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(rnd.randrange(100, 140))) for _ in range(300)]
+    texts += [t + " more" for t in texts[:20]]
+    read, true = [], similar._sets
+
+    def counted(docs, words):
+        read.append(docs.count())
+        return true(docs, words)
+
+    monkeypatch.setattr(similar, "_sets", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in similar.near_copies(df, radius=64).collect()}
+    assert got == {k: k if k < 300 else k - 300 for k in range(320)}
+    assert read == [40]
